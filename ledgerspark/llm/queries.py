@@ -8,13 +8,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode_documents
+from .decontaminate import decontaminate
+from .jaccard import jaccard_classes
+from .language import identify_languages
+from .licenses import scan_licenses
+from .phrases import remove_phrases
+from .store import new_path
+from .suffix import remove_repeats
 from .token_counts import count_tokens
+from .warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_archives(_table(spark, sf_dir, "pages"), path)
+    found = read_archives(spark, path)
+    return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -23,10 +50,29 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_table(spark, sf_dir, "documents"), n=5, percent=75)
+
+
+def op9_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_phrases(_table(spark, sf_dir, "documents"), n=13)
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
+        "op2_language_id": op2_language_id,
+        "op4_warc": op4_warc,
+        "op5_decontamination": op5_decontamination,
         "op6_token_counts": op6_token_counts,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_jaccard_join": op8_jaccard_join,
+        "op9_repeated_phrases": op9_repeated_phrases,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 

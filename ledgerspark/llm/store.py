@@ -66,7 +66,7 @@ def _remove_rest() -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """The planner's estimate of the input, known without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def shards(df: DataFrame, mb: float = 16, least: int = 16, most: int = 1 << 16) -> int:
