@@ -16,6 +16,7 @@ from .phrases import remove_phrases
 from .store import new_path
 from .suffix import remove_repeats
 from .token_counts import count_tokens
+from .vectors import near_duplicates
 from .warc import read_archives, write_archives
 
 
@@ -31,6 +32,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(_table(spark, sf_dir, "pages"), path)
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_language_id": op2_language_id,
+        "op3_embedding_graph": op3_embedding_graph,
         "op4_warc": op4_warc,
         "op5_decontamination": op5_decontamination,
         "op6_token_counts": op6_token_counts,

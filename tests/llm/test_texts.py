@@ -149,7 +149,7 @@ def brute_repeats(rows, length):
         for i in range(len(t) - length + 1):
             if seen[t[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
-        spans = len(re.findall(rb"\1+", bytes(gone)))
+        spans = len(re.findall(rb"\x01+", bytes(gone)))
         yield r[0], len(t), sum(gone), spans, sha(bytes(c for c, g in zip(t, gone) if not g))
 
 
