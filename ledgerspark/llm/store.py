@@ -64,14 +64,20 @@ def _remove_rest() -> None:
             return
 
 
+#: Planner's estimates beyond this are taken for guesses (of joins, or of rows without statistics).
+_GUESS = 1 << 40
+
+
 def input_bytes(df: DataFrame) -> int:
-    """The planner's estimate of the input, known without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Size of the input with its column text: the planner's estimate, which needs no job, or if
+    that is a guess the texts' own length."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < _GUESS else df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def shards(df: DataFrame, mb: float = 16, least: int = 16, most: int = 1 << 16) -> int:
     """A power of two of work shares, each of about so many MB of input."""
-    want = min(input_bytes(df), 1 << 50) / (mb * 1e6)
+    want = input_bytes(df) / (mb * 1e6)
     return min(most, max(least, 1 << math.ceil(math.log2(max(1.0, want)))))
 
 
