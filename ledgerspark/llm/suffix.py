@@ -18,8 +18,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .kernels import binary_array, byte_gram_hashes, covered, merge_spans, ranges, text_blocks, window_rows, winnow
+from .kernels import NULL_ID, binary_array, byte_gram_hashes, covered, merge_spans, ranges, text_blocks, window_rows, winnow
 from .phrases import _span_batch, keyed, span_arrays, with_spans
 from .repeats import find_repeats
 from .store import cut, given_id, shards
@@ -270,23 +271,25 @@ def _merge_shards(batches):
     yield from table.select(["doc_id", "rk", "lo", "hi"]).take(at).combine_chunks().to_batches()
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) of every document.
+def remove_repeats(docs: DataFrame, length: int = 200, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with carry also
+    kept_text, and a struct `rest` of the columns that it names.
 
     A byte goes if a string of length bytes that covers it also starts anywhere
     else, in the same document too; strings do not cross documents and are
     judged on the input. Null texts are empty. Equal rows are each other's
     copies, whatever their doc_id; a null doc_id stays null. An empty table
-    gives no rows; further columns are not read. kept_text drops what removal
-    leaves of a cut character.
+    gives no rows; other columns are not read. kept_text drops what removal leaves
+    of a cut character; it is null where the text was.
     """
     if length <= GRAM:
         raise ValueError(f"length must be more than {GRAM}")
     source = keyed(docs)
-    joined = with_spans(source, find_spans(source, length))
+    spans = find_spans(source, length)
+    if carry:
+        source = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rk", F.xxhash64("text"))
+    joined = with_spans(source, spans)
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    if keep_text:
-        fields.append(("kept_text", pa.string()))
     schema = pa.schema(fields)
 
     def finish(batches):
@@ -302,9 +305,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = False)
                 view = memoryview(flat)
                 pieces = [view[a:b] for a, b in zip(edge, edge[1:])]
                 columns = [ids.slice(low, high - low), pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.bincount(row, minlength=high - low)), pa.array([hashlib.sha256(p).hexdigest() for p in pieces], pa.string())]
-                if keep_text:
-                    columns.append(pa.array([p.tobytes().decode("utf-8", "ignore") for p in pieces], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
+                if carry:
+                    was = batch.column("text").slice(low, high - low).is_valid().to_pylist()
+                    columns.append(pa.array([p.tobytes().decode("utf-8", "ignore") if v else None for p, v in zip(pieces, was)], pa.string()))
+                    columns.append(batch.column("rest").slice(low, high - low))
+                    yield pa.RecordBatch.from_arrays(columns, names=[*schema.names, "kept_text", "rest"])
+                else:
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if carry:
+        ddl += f", kept_text string, rest {source.schema['rest'].dataType.simpleString()}"
     return joined.mapInArrow(finish, ddl).withColumn("doc_id", given_id())
