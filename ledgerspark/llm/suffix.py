@@ -157,9 +157,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     if not len(windows):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
-    least = winnow(grams, length - GRAM + 1)[windows]
+    least = grams[winnow(grams, length - GRAM + 1)[windows]]
+    # Runs go by the hash, not by its place: text that repeats itself stays one run.
     new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])])
-    return grams[least[new]], windows[new], np.diff(np.append(new, len(windows))), rows[new]
+    return least[new], windows[new], np.diff(np.append(new, len(windows))), rows[new]
 
 
 _TRIPLE = 3
