@@ -157,19 +157,29 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     if not len(windows):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
-    least = grams[winnow(grams, length - GRAM + 1)[windows]]
+    at = winnow(grams, length - GRAM + 1)[windows]
+    least = grams[at]
     # Runs go by the hash, not by its place: text that repeats itself stays one run.
     new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])])
     return least[new], windows[new], np.diff(np.append(new, len(windows))), rows[new]
 
 
+def anchor_places(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+    """The anchor hash of each run, twice if the run has it at several places."""
+    h, at, count, _ = anchors(data, offsets, length)
+    if not len(h):
+        return h
+    least = winnow(byte_gram_hashes(data, GRAM), length - GRAM + 1)
+    return np.concatenate((h, h[least[at] != least[at + count - 1]]))
+
+
 _TRIPLE = 3
 
 
 def find_spans(source: DataFrame, length: int) -> DataFrame:
     """doc_id, rk, lo, hi: byte ranges to remove; they can overlap. source: doc_id, rk, text."""
     spark = source.sparkSession
-    repeats = spark.sparkContext.broadcast(find_repeats(source, lambda d, o: anchors(d, o, length)[0], 2 / (length - GRAM + 2), ROWS_PER_ANCHOR))
+    repeats = spark.sparkContext.broadcast(find_repeats(source, lambda d, o: anchor_places(d, o, length), 2 / (length - GRAM + 2), ROWS_PER_ANCHOR))
 
     def send(batches):
         found = repeats.value
