@@ -33,7 +33,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95).drop("recall")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +82,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+SPACED = r"'[^\x20\x09-\x0D]+'"
+
+SQL = {
+    "op3_embedding_graph": """with recursive e as (select vec_id, embedding::double[] v from embeddings),
+l as (select a.vec_id a, b.vec_id b from e a join e b on a.vec_id <> b.vec_id where list_cosine_similarity(a.v, b.v) >= 0.95),
+r(a, b) as (select vec_id, vec_id from e union select r.a, l.b from r join l on r.b = l.a)
+select e.vec_id, (select count(*) from l where l.a = e.vec_id) n_links, min(r.b) component_id, e.vec_id = min(r.b) kept from e join r on r.a = e.vec_id group by e.vec_id""",
+    "op4_warc": """with p as (select page_id, coalesce(html, '') h from pages), m as (select *, min(page_id) over (partition by h) f from p)
+select page_id, strlen(h)::bigint payload_bytes, sha256(h) payload_digest, case when strlen(h) >= 100 and page_id > f then 'revisit' else 'response' end record_type, case when strlen(h) >= 100 and page_id > f then f end refers_to from m""",
+    "op5_decontamination": f"""with d as (select doc_id, regexp_extract_all({LOWER}, {ALNUM}) ws from documents), i as (select item_id, regexp_extract_all({LOWER}, {ALNUM}) ws from benchmark where item_id is not null),
+iw as (select item_id, ws, least(10, len(ws)) k from i where len(ws) > 0), ig as (select distinct item_id, k, array_to_string(ws[p:p + k - 1], ' ') g from (select *, unnest(range(1, len(ws) - k + 2)) p from iw)),
+dg as (select doc_id, k, p, array_to_string(ws[p:p + k - 1], ' ') g from (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) p from d, (select distinct k from iw))),
+h as (select doc_id, item_id, p, k from dg join ig using (k, g)), c as (select doc_id, count(distinct q) n from (select doc_id, unnest(range(p, p + k)) q from h) group by 1),
+t as (select doc_id, count(*) n, string_agg(item, ',' order by item) s from (select distinct doc_id, item_id::varchar item from h) group by 1)
+select doc_id, len(ws)::bigint n_words, coalesce(c.n, 0) n_hit, coalesce(t.n, 0) n_items, sha256(coalesce(t.s, '')) items_sha256, c.n is not null contaminated from d left join c using (doc_id) left join t using (doc_id)""",
+    "op8_jaccard_join": f"""with recursive w as (select doc_id, regexp_extract_all({LOWER}, {SPACED}) ws from documents),
+g as (select distinct doc_id, array_to_string(ws[p:p + k - 1], ' ') g from (select doc_id, ws, least(5, len(ws)) k, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) p from w where len(ws) > 0)),
+n as (select doc_id, count(*) n from g group by 1), x as (select a.doc_id a, b.doc_id b, count(*) i from g a join g b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from x join n p on p.doc_id = a join n q on q.doc_id = b where 100 * i >= 75 * (p.n + q.n - i)), r(a, b) as (select doc_id, doc_id from w union select r.a, l.b from r join l on r.b = l.a)
+select w.doc_id, coalesce(max(n.n), 0) n_shingles, min(r.b) component_id from w join r on r.a = w.doc_id left join n on n.doc_id = w.doc_id group by w.doc_id""",
+    "op9_repeated_phrases": f"""with w as (select doc_id, regexp_extract_all(coalesce(text, ''), {SPACED}) ws from documents), k as (select doc_id, p, array_to_string(ws[p:p + 12], ' ') g from (select *, unnest(range(1, len(ws) - 11)) p from w where len(ws) >= 13)),
+f as (select g, min(doc_id) first_doc from k group by 1), c as (select distinct doc_id, unnest(range(p, p + 13)) q from k join f using (g) where doc_id > first_doc),
+u as (select doc_id, unnest(ws) x, generate_subscripts(ws, 1) q from w), t as (select doc_id, string_agg(x, ' ' order by q) s, count(*) n from u anti join c using (doc_id, q) group by 1)
+select doc_id, len(ws)::bigint n_words, len(ws) - coalesce(t.n, 0) n_removed, sha256(coalesce(t.s, '')) kept_sha256 from w left join t using (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
