@@ -30,7 +30,9 @@ MOST_CENTRES = 1 << 16
 SAMPLE_PER_CENTRE = 16
 MOST_SAMPLE = 1 << 16
 #: Nodes that one task takes; a larger shard is dealt into tiles, and each two tiles meet in one task.
-MOST_NODES = 4096
+MOST_NODES = 2048
+#: Nodes whose neighbours a range search looks at together.
+FRONTIER = 1 << 14
 #: Candidates, kept neighbours and the slack of robust pruning; nodes that a search holds.
 CANDIDATES, NEIGHBOURS, ALPHA, BEAM = 48, 24, 1.2, 32
 MEDOIDS = 8
@@ -157,12 +159,15 @@ def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: n
         opens = np.concatenate((open_[touched], more[touched] >= 0), axis=1)
         order = np.argsort(-vals, axis=1, kind="stable")[:, :beam]
         held[touched], value[touched], open_[touched] = (np.take_along_axis(y, order, 1) for y in (ids, vals, opens))
-    # Range: from everything in range on through all that is in range.
+    # Range: from everything in range on through all that is in range, so many nodes at a time.
     rows, nodes = np.nonzero(inside)
     while len(rows):
-        r, near, s = visit(rows, nodes)
-        hit = s >= least
-        rows, nodes = r[hit], near[hit]
+        more = []
+        for low in range(0, len(rows), FRONTIER):
+            r, near, s = visit(rows[low : low + FRONTIER], nodes[low : low + FRONTIER])
+            hit = s >= least
+            more.append((r[hit], near[hit]))
+        rows, nodes = (np.concatenate(x) for x in zip(*more))
     return np.nonzero(inside)
 
 
