@@ -40,9 +40,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, n: int):
         none = np.zeros(0, np.int64)
         return words, first, np.zeros(0, np.uint64), none, none, none
     grams = gram_hashes(words, GRAM)
-    least = winnow(grams, n - GRAM + 1)[windows]
+    least = grams[winnow(grams, n - GRAM + 1)[windows]]
+    # Runs go by the hash, not by its place: text that repeats itself stays one run.
     new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])])
-    return words, first, grams[least[new]], windows[new], np.diff(np.append(new, len(windows))), rows[new]
+    return words, first, least[new], windows[new], np.diff(np.append(new, len(windows))), rows[new]
 
 
 def _distinct(h: np.ndarray, row: np.ndarray) -> np.ndarray:
