@@ -34,6 +34,8 @@ from .store import cut, given_id, texts
 TRIE_SETS = 256
 #: Parts into which the sets that meet one probe are dealt.
 PROBE_PARTS = 64
+#: Rounds in which n-grams link their nodes to a central one, before pairs are listed.
+STAR_ROUNDS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -54,7 +56,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
 
 def in_order(tokens: np.ndarray, repeats: Repeats) -> tuple[np.ndarray, np.ndarray]:
     """The set in global order, and each n-gram's level: 0 if no other document has it."""
-    level = repeats.has(tokens).astype(np.int64) + repeats.hot_count(tokens)
+    level = repeats.level(tokens) + repeats.hot_count(tokens)
     order = np.lexsort((tokens, level))
     return tokens[order], level[order]
 
@@ -169,7 +171,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
 
     table = cut(source.mapInArrow(build, "doc_id long, size long, node binary, prefix array<long>, tokens binary"), "sets")
     sets = table.where("tokens is not null").select("node", "tokens")
-    entries = cut(table.where("prefix is not null").select(F.explode("prefix").alias("gram"), "node", "size").distinct(), "prefixes")
+    entries = cut(table.where("prefix is not null").select(F.explode("prefix").alias("gram"), "node", "size", F.size("prefix").alias("met")).distinct(), "prefixes")
     links = class_links(entries, sets, percent)
     # The least doc_id of equal sets stands for them: links of nodes become links of documents.
     least = table.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -181,22 +183,36 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
 
 
 def class_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of nodes whose components are those of all links. entries: gram, node, size."""
+    """Links (a, b) of nodes whose components are those of all links. entries: gram, node, size, met
+    (how many of the node's first n-grams other documents have: most in the middle of a group).
+
+    Stars shrink what is left to compare: each round an n-gram links its nodes
+    to its most central one, then to the most central one of another component.
+    """
     close = f"100 * least(size, other) >= {percent} * greatest(size, other)"
-    grams = entries.groupBy("gram").agg(F.min(F.struct("node", "size")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    lead = grams.select("gram", F.col("first.node").alias("a"), F.col("first.size").alias("other"), "n")
-    met = cut(entries.join(lead, "gram").select("gram", "node", "size", "a", "other", "n"), "met")
-    star = cut(met.where("node <> a").where(close).select("a", F.col("node").alias("b")).distinct(), "pairs")
-    first = cut(_links(star, sets, percent), "links")
-    known = components(first)
-    # Of n-grams with three nodes or more: nodes that are still in different components.
-    rest = met.where("n > 2").select("gram", "node", "size").join(known, F.col("node") == F.col("id"), "left").select("gram", "node", "size", F.coalesce("component", "node").alias("class"))
-    rest = cut(rest, "rest")
-    mixed = rest.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("gram")
-    rest = rest.join(mixed, "gram", "left_semi")
+    several = entries.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", "n")
+    rest = cut(entries.join(several, "gram").withColumn("class", F.col("node")), "met")
+    tried = links = None
+    for _ in range(STAR_ROUNDS):
+        lead = rest.groupBy("gram").agg(F.max(F.struct("met", "node", "class", "size")).alias("top"))
+        star = rest.join(lead, "gram").select(F.col("top.node").alias("x"), F.col("top.class").alias("mine"), F.col("top.size").alias("other"), "node", "class", "size").where("mine <> class").where(close)
+        star = star.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        star = cut(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "pairs")
+        own = cut(_links(star, sets, percent), "links")
+        tried, links = (star, own) if tried is None else (tried.unionAll(star), links.unionAll(own))
+        rest = _still_mixed(rest, components(links))
+    # What is left: every pair of different components that share an n-gram, from the smaller side.
     sizes = rest.groupBy("gram", "class").agg(F.count("*").alias("n"))
     major = sizes.groupBy("gram").agg(F.max_by("class", F.struct("n", "class")).alias("major"))
     minor = rest.join(major, "gram").where("class <> major").select("gram", F.col("node").alias("x"), F.col("size").alias("other"), F.col("class").alias("mine"))
     across = minor.join(rest, "gram").where("mine <> class").where(close).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    across = cut(across.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    return first.unionAll(_links(across, sets, percent))
+    across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
+    return links.unionAll(_links(across, sets, percent))
+
+
+def _still_mixed(rest: DataFrame, known: DataFrame) -> DataFrame:
+    """Entries of n-grams that hold nodes of several components, with those components as class."""
+    rest = rest.drop("class").join(known, F.col("node") == F.col("id"), "left").select("gram", "node", "size", "met", "n", F.coalesce("component", "node").alias("class"))
+    rest = cut(rest, "rest")
+    mixed = rest.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("gram")
+    return cut(rest.join(mixed, "gram", "left_semi"), "mixed")

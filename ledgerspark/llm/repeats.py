@@ -4,7 +4,8 @@ Fingerprints of a batch are sorted, combined, cut to their high bits and sent
 as difference-coded blocks to the share of the hash range that they belong to.
 Each share counts its own exactly. What comes back has a fixed size whatever
 the input: one bit for each slot of a bitmap (set where a fingerprint of the
-slot is repeated), and the few most frequent fingerprints. A set bit may be
+slot is repeated), a level of frequency for each coarser slot, and the few most
+frequent fingerprints. A set bit may be
 wrong, a clear one never is; users go on with exact comparisons.
 """
 
@@ -23,6 +24,8 @@ from .store import input_bytes, shards
 
 #: Bits of the bitmap at most: 32 MB.
 BITMAP_BITS = 28
+#: Bits of the table of frequency levels at most: 16 MB.
+LEVEL_BITS = 24
 #: Frequent fingerprints kept at most: no more can occur more than total / MOST_HOT times.
 MOST_HOT = 1 << 20
 _FLUSH = 1 << 20
@@ -33,6 +36,8 @@ class Repeats:
     bits: np.ndarray
     slot_shift: np.uint64
     value_shift: np.uint64
+    levels: np.ndarray  # of frequency, for coarser slots: 0 for fingerprints of less than three occurrences
+    level_shift: np.uint64
     hot: np.ndarray  # sorted high bits of frequent fingerprints
     counts: np.ndarray
     hot_above: int
@@ -41,6 +46,11 @@ class Repeats:
         slot = h >> self.slot_shift
         return (self.bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 != 0
 
+    def level(self, h: np.ndarray) -> np.ndarray:
+        """How frequent a fingerprint is: 0 if it is not repeated, then rising with the logarithm of its
+        count. A function of the fingerprint; now and then too high."""
+        return np.where(self.has(h), 1 + self.levels[(h >> self.level_shift).astype(np.int64)].astype(np.int64), 0)
+
     def hot_count(self, h: np.ndarray) -> np.ndarray:
         """Occurrences of frequent fingerprints, 0 of others."""
         if not len(self.hot):
@@ -86,6 +96,7 @@ def find_repeats(source: DataFrame, fingerprints: Callable, density: float, hot_
             yield flush(parts)
 
     slice_bits = slot_bits - part_bits
+    rank_bits = max(0, min(LEVEL_BITS, slot_bits) - part_bits)
 
     def count(table: pa.Table) -> pa.Table:
         vals = [np.cumsum(np.frombuffer(v, dtype), dtype=dtype) for v in table.column("vals").to_pylist()]
@@ -98,17 +109,22 @@ def find_repeats(source: DataFrame, fingerprints: Callable, density: float, hot_
         flags = np.zeros(1 << slice_bits, np.uint8)
         many = vals[total > 1]
         flags[((many >> np.uint64(value_bits - slot_bits)) & np.uint64((1 << slice_bits) - 1)).astype(np.int64)] = 1
+        ranks = np.zeros(1 << rank_bits, np.uint8)
+        often = total > 2
+        np.maximum.at(ranks, ((vals[often] >> np.uint64(value_bits - part_bits - rank_bits)) & np.uint64((1 << rank_bits) - 1)).astype(np.int64), np.log2(total[often]).astype(np.uint8))
         hot = total > hot_above
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()), "hot": pa.array([vals[hot].tobytes()], pa.binary()), "n": pa.array([total[hot].tobytes()], pa.binary())})
+        return pa.table({"levels": pa.array([ranks.tobytes()], pa.binary()), "part": pa.array([table.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()), "hot": pa.array([vals[hot].tobytes()], pa.binary()), "n": pa.array([total[hot].tobytes()], pa.binary())})
 
     sent = source.select("text").mapInArrow(send, "part int, vals binary, counts binary")
-    rows = sent.groupBy("part").applyInArrow(count, "part int, bits binary, hot binary, n binary").toArrow()
+    rows = sent.groupBy("part").applyInArrow(count, "levels binary, part int, bits binary, hot binary, n binary").toArrow()
     bits = np.zeros(1 << (slot_bits - 3), np.uint8)
+    levels = np.zeros(1 << (part_bits + rank_bits), np.uint8)
     hot, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for part, own, h, n in zip(*(rows.column(c).to_pylist() for c in ("part", "bits", "hot", "n"))):
+    for part, own, h, n, rank in zip(*(rows.column(c).to_pylist() for c in ("part", "bits", "hot", "n", "levels"))):
+        levels[part << rank_bits : (part + 1) << rank_bits] = np.frombuffer(rank, np.uint8)
         bits[part << (slice_bits - 3) : (part + 1) << (slice_bits - 3)] = np.frombuffer(own, np.uint8)
         hot.append(np.frombuffer(h, np.uint64))
         counts.append(np.frombuffer(n, np.int64))
     hot, counts = np.concatenate(hot), np.concatenate(counts)
     order = np.argsort(hot, kind="stable")
-    return Repeats(bits, np.uint64(64 - slot_bits), value_shift, hot[order], counts[order], hot_above)
+    return Repeats(bits, np.uint64(64 - slot_bits), value_shift, levels, np.uint64(64 - part_bits - rank_bits), hot[order], counts[order], hot_above)
