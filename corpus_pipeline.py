@@ -24,22 +24,37 @@ from ledgerspark.llm.suffix import remove_repeats
 MOST_BACKGROUND = 0.9
 
 
-def _ids(found: DataFrame) -> DataFrame:
-    return found.select(F.col("doc_id").alias("__id")).distinct()
+#: Ids up to which a list of them is broadcast; a longer one meets the documents in a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without those whose doc_id is in found."""
+    ids = cut(found.select(F.col("doc_id").alias("__id")).distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def _rows_once(docs: DataFrame) -> DataFrame:
+    """docs with one row of each doc_id and text; only rows of repeated ids are moved."""
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
+    again = cut(again, "again")
+    if again.isEmpty():
+        return docs
+    on = F.col("doc_id").eqNullSafe(F.col("__id"))
+    return docs.join(again, on, "left_anti").unionAll(docs.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those that no language explains."""
     found = identify(docs, learn(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))))
-    rejected = _ids(found.where((F.col("lang_pred") == UNKNOWN) | (F.col("background") > MOST_BACKGROUND)))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    return _without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("background") > MOST_BACKGROUND)))
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one of least doc_id stays; of repeated rows one."""
     classes = jaccard_classes(docs)
-    kept = _ids(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return _rows_once(_without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +68,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
-    return docs.join(_ids(found.where("contaminated")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    return _without(docs, found.where("contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
