@@ -26,7 +26,7 @@ from .merging import PairTable, merge_all
 from .store import given_id, texts
 
 #: Pieces held in a worker's cache before it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 100_000
 #: Bytes from which on a piece is merged by a heap instead of in step with others.
 LONG_PIECE = 256
 #: Bytes of text scanned at a time.
