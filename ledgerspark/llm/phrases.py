@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .kernels import NON_SPACE, binary_array, covered, gram_hashes, merge_spans, ranges, span_hashes, text_blocks, window_rows, winnow, word_spans
 from .repeats import find_repeats
-from .store import given_id, shards, texts
+from .store import cut, given_id, shards, texts
 
 GRAM = 5
 #: Rows of an anchor that one task takes; a more frequent anchor is dealt to several.
@@ -160,8 +160,6 @@ def find_spans(source: DataFrame, n: int) -> DataFrame:
                 if len(w):
                     yield _span_batch(doc[row[w]], rk[row[w]], lo[w], lo[w] + n, phrase[w].view(np.int64) | 1)
 
-    from .store import cut
-
     found = cut(dealt.mapInArrow(locate, "doc_id long, rk long, lo long, hi long, phrase long"), "phrases")
     sure, rest = found.where("phrase = 0").drop("phrase"), found.where("phrase <> 0")
     first = rest.groupBy("phrase").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
@@ -178,9 +176,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("rk", F.xxhash64("text"))
 
 
+#: Bytes of spans up to which they are broadcast to the texts; more of them meet the texts in a shuffle.
+BROADCAST_SPANS = 32 << 20
+
+
 def with_spans(source: DataFrame, spans: DataFrame) -> DataFrame:
     """source with spans array<struct<lo,hi>>, null where there are none."""
-    grouped = spans.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    grouped = cut(spans.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    rows, total = grouped.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    if 64 * rows + 16 * total <= BROADCAST_SPANS:
+        grouped = F.broadcast(grouped)
     return source.join(grouped, ["doc_id", "rk"], "left")
 
 

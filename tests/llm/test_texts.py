@@ -158,6 +158,7 @@ def test_phrases(docs, rows, empty, monkeypatch, deal):
     from ledgerspark.llm import phrases
 
     monkeypatch.setattr(phrases, "ROWS_PER_ANCHOR", deal)
+    monkeypatch.setattr(phrases, "BROADCAST_SPANS", 0 if deal == 2 else 1 << 20)
     want = list(brute_phrases(rows, 13))
     assert sum(w[2] > 0 for w in want) > 20
     same(remove_phrases(docs), ["doc_id", "n_words", "n_removed", "kept_sha256"], want)
