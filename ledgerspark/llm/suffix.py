@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import NULL_ID, binary_array, byte_gram_hashes, covered, merge_spans, ranges, text_blocks, window_rows, winnow
+from .kernels import NULL_ID, binary_array, byte_gram_hashes, covered, merge_spans, ranges, span_hashes, text_blocks, window_rows, winnow
 from .phrases import _span_batch, keyed, span_arrays, with_spans
 from .repeats import find_repeats
 from .store import cut, given_id, shards
@@ -30,6 +30,9 @@ GRAM = 64
 ROWS_PER_ANCHOR = 4096
 #: Bytes of surroundings whose suffixes are sorted together.
 SHARD_BYTES = 1 << 20
+#: Positions that are gone through one after another; more lanes of them go in step.
+LANE = 128
+_BYTES = np.array([1 << (8 * i) for i in range(8)], np.uint64)
 
 
 # ---- suffix arrays ---------------------------------------------------------
@@ -45,8 +48,8 @@ def suffix_order(text: np.ndarray, rest: np.ndarray, depth: int) -> tuple[np.nda
     """Suffixes of at least depth bytes in order of their first depth bytes, and the numbers of
     their groups (equal where those bytes are equal). rest: bytes left at each position."""
     key = head_keys(text)
-    order = np.argsort(key, kind="stable")
-    order = order[rest[order] >= 8]
+    order = np.flatnonzero(rest >= 8)
+    order = order[np.argsort(key[order])]
     rank = np.zeros(len(text), np.int64)
 
     def regroup(order, new):
@@ -69,7 +72,7 @@ def suffix_order(text: np.ndarray, rest: np.ndarray, depth: int) -> tuple[np.nda
         if not len(order):
             break
         second = rank[order + step]
-        sort = np.lexsort((second, number))
+        sort = np.argsort(number * (len(text) + 1) + second)
         order, number, second = order[sort], number[sort], second[sort]
         new = np.r_[True, (number[1:] != number[:-1]) | (second[1:] != second[:-1])]
         at = np.flatnonzero(new)
@@ -83,7 +86,7 @@ def suffix_order(text: np.ndarray, rest: np.ndarray, depth: int) -> tuple[np.nda
     keep = rest[order] >= depth
     numbers = np.concatenate([n for n, _ in done] + [number[keep]])
     orders = np.concatenate([o for _, o in done] + [order[keep]])
-    sort = np.lexsort((orders, numbers))
+    sort = np.argsort(numbers * (len(text) + 1) + orders)
     return orders[sort], numbers[sort]
 
 
@@ -101,31 +104,30 @@ def common_prefixes(text: np.ndarray, begin: np.ndarray, rest: np.ndarray, order
     member = np.zeros(len(text) + 1, bool)
     member[order] = True
     shared = np.zeros(len(text), np.int64)
-    ends = np.append(begin[1:], len(text))
-    longest = int((ends - begin).max()) if len(begin) else 0
-    last_q, last_n = np.full(len(begin), -2), np.zeros(len(begin), np.int64)
-    for j in range(longest):
-        lane = np.flatnonzero(begin + j < ends)
-        lane = lane[before[begin[lane] + j] >= 0]
-        if not len(lane):
-            continue
-        p = begin[lane] + j
+    # Lanes of LANE windows at most, the longest first: those that go on stand at the front.
+    count = np.maximum(np.append(begin[1:], len(text)) - begin - limit + 1, 0)
+    parts = -(-count // LANE)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    start, size = np.repeat(begin, parts) + nth * LANE, np.minimum(np.repeat(count, parts) - nth * LANE, LANE)
+    lanes = np.argsort(-size, kind="stable")
+    start, size = start[lanes], size[lanes]
+    last_q, last_n = np.full(len(start), -2), np.zeros(len(start), np.int64)
+    for j in range(int(size.max(initial=0))):
+        active = np.searchsorted(-size, -j, "left")  # lanes of more than j windows
+        p = start[:active] + j
         q = before[p]
-        most = np.minimum(np.minimum(rest[p], rest[q]), limit)
-        after = last_q[lane] + 1
+        most = np.where(q >= 0, limit, 0)  # all windows have limit bytes at least
+        after = last_q[:active] + 1
         # A neighbour that is equal up to the limit may stand on either side one byte on.
-        holds = (after == q) | ((last_n[lane] < limit) & (after > 0) & member[np.maximum(after, 0)] & (rest[np.maximum(after, 1) - 1] > 1))
-        n = np.minimum(np.where(holds, np.maximum(last_n[lane] - 1, 0), 0), most)
+        holds = (after == q) | ((last_n[:active] < limit) & (after > 0) & member[np.maximum(after, 0)] & (rest[np.maximum(after, 1) - 1] > 1))
+        n = np.minimum(np.where(holds, np.maximum(last_n[:active] - 1, 0), 0), most)
         on = np.flatnonzero(n < most)
         while len(on):
             differ = key[p[on] + n[on]] ^ key[q[on] + n[on]]
-            same = np.zeros(len(on), np.int64)  # leading bytes of eight that are equal
-            for byte in range(8):
-                same += (differ >> np.uint64(8 * (7 - byte))) == 0
+            same = 8 - np.searchsorted(_BYTES, differ, "right")  # leading bytes of eight that are equal
             n[on] = np.minimum(n[on] + same, most[on])
             on = on[(same == 8) & (n[on] < most[on])]
-        last_q[:], last_n[:] = -2, 0
-        last_q[lane], last_n[lane] = q, n
+        last_q[:active], last_n[:active] = q, n
         shared[p] = n
     return shared[order]
 
@@ -150,45 +152,93 @@ def repeated_windows(text: np.ndarray, begin: np.ndarray, copies: np.ndarray, le
 # ---- Spark -----------------------------------------------------------------
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Anchor hash, first window, number of windows and row of each run of windows with one anchor."""
+def _inner(length: int) -> int:
+    """Hashes in the inner windows: half of what a window of length bytes has."""
+    return (length - GRAM) // 2 + 1
+
+
+def inner_anchors(data: np.ndarray, offsets: np.ndarray, length: int):
+    """Starts and rows of the inner windows (shorter ones, of which a window of length bytes holds
+    many), the place of each one's anchor, and the hashes of all places."""
     grams = byte_gram_hashes(data, GRAM)
+    starts, rows = window_rows(offsets, GRAM + _inner(length) - 1)
+    return starts, rows, winnow(grams, _inner(length))[starts], grams
+
+
+def fingerprints(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+    """The anchor hash of each run of inner windows with one hash, twice if it stands at several places."""
+    starts, rows, at, grams = inner_anchors(data, offsets, length)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    h = grams[at]
+    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])])
+    last = np.append(new[1:], len(h)) - 1
+    return np.concatenate((h[new], h[new][at[new] != at[last]]))
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, repeats):
+    """Anchor hash, first window, number of windows and row of each run of windows with one anchor.
+
+    Only windows in which all inner windows have repeated anchors: equal windows
+    have equal inner ones, so no repeated window is left out.
+    """
+    starts, _, at, grams = inner_anchors(data, offsets, length)
     windows, rows = window_rows(offsets, length)
+    none = np.zeros(0, np.int64)
     if not len(windows):
-        none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
-    at = winnow(grams, length - GRAM + 1)[windows]
-    least = grams[at]
+    bad = np.zeros(len(data) + 1, np.int64)
+    bad[starts[~repeats.has(grams[at])] + 1] = 1
+    bad = np.cumsum(bad)
+    inside = length - (GRAM + _inner(length) - 1) + 1
+    good = bad[windows + inside] == bad[windows]
+    windows, rows = windows[good], rows[good]
+    if not len(windows):
+        return np.zeros(0, np.uint64), none, none, none
+    least = grams[winnow(grams, length - GRAM + 1)[windows]]
     # Runs go by the hash, not by its place: text that repeats itself stays one run.
-    new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])])
+    new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (rows[1:] != rows[:-1]) | (windows[1:] != windows[:-1] + 1)])
     return least[new], windows[new], np.diff(np.append(new, len(windows))), rows[new]
 
 
-def anchor_places(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
-    """The anchor hash of each run, twice if the run has it at several places."""
-    h, at, count, _ = anchors(data, offsets, length)
-    if not len(h):
-        return h
-    least = winnow(byte_gram_hashes(data, GRAM), length - GRAM + 1)
-    return np.concatenate((h, h[least[at] != least[at + count - 1]]))
+_TRIPLE = 3
 
 
-_TRIPLE = 3
+def _text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return span_hashes(data, offsets[:-1], offsets[1:])
+
+
+def _copies(repeats, wanted: bool):
+    """Keeps rows whose text may stand elsewhere too, or the others."""
+
+    def run(batches):
+        for batch in batches:
+            for low, high, data, offsets in text_blocks(batch.column("text")):
+                at = np.flatnonzero(repeats.value.has(_text_hashes(data, offsets)) == wanted)
+                if len(at):
+                    yield batch.take(pa.array(at + low)).select(["doc_id", "rk", "text"])
+
+    return run
 
 
 def find_spans(source: DataFrame, length: int) -> DataFrame:
     """doc_id, rk, lo, hi: byte ranges to remove; they can overlap. source: doc_id, rk, text."""
     spark = source.sparkSession
-    repeats = spark.sparkContext.broadcast(find_repeats(source, lambda d, o: anchor_places(d, o, length), 2 / (length - GRAM + 2), ROWS_PER_ANCHOR))
+    repeats = spark.sparkContext.broadcast(find_repeats(source, lambda d, o: fingerprints(d, o, length), 2 / (_inner(length) + 1), ROWS_PER_ANCHOR))
+    # Equal texts: one of them goes on, all of them go whole.
+    copies = spark.sparkContext.broadcast(find_repeats(source, _text_hashes, 1 / 1000))
+    same = cut(source.where(F.octet_length("text") >= length).mapInArrow(_copies(copies, True), "doc_id long, rk long, text string"), "copies")
+    several = same.groupBy("rk", F.octet_length("text").alias("hi")).agg(F.count("*").alias("n")).where("n > 1").select("rk", F.col("hi").cast("long").alias("hi"))
+    wholly = same.select("doc_id", "rk").join(several, "rk").select("doc_id", "rk", F.lit(0).cast("long").alias("lo"), "hi")
+    one = same.dropDuplicates(["rk", "text"])
+    rest = source.where(F.octet_length("text") >= length).mapInArrow(_copies(copies, False), "doc_id long, rk long, text string")
 
     def send(batches):
         found = repeats.value
         for batch in batches:
             docs, keys = batch.column("doc_id").to_numpy(), batch.column("rk").to_numpy()
             for low, high, data, offsets in text_blocks(batch.column("text")):
-                h, at, count, row = anchors(data, offsets, length)
-                keep = found.has(h)
-                h, at, count, row = h[keep], at[keep], count[keep], row[keep]
+                h, at, count, row = anchors(data, offsets, length, found)
                 if not len(h):
                     continue
                 deal = found.hot_count(h) // ROWS_PER_ANCHOR + 1
@@ -206,7 +256,8 @@ def find_spans(source: DataFrame, length: int) -> DataFrame:
                     names=["anchor", "salt", "around", "places"],
                 )
 
-    sent = source.mapInArrow(send, "anchor long, salt int, around binary, places binary")
+    ddl = "anchor long, salt int, around binary, places binary"
+    sent = rest.mapInArrow(send, ddl).unionAll(one.mapInArrow(send, ddl))
     dealt = sent.repartition(shards(source, 8, 16), "anchor", "salt").sortWithinPartitions("anchor", "salt")
 
     def search(batches):
@@ -224,8 +275,8 @@ def find_spans(source: DataFrame, length: int) -> DataFrame:
             yield from _search_shard(rows, length)
 
     found = cut(dealt.mapInArrow(search, "doc_id long, rk long, lo long, hi long, phrase long"), "suffix")
-    rest = found.where("phrase <> 0").repartition(shards(source, 8, 16), "phrase")
-    return found.where("phrase = 0").drop("phrase").unionAll(rest.mapInArrow(_merge_shards, "doc_id long, rk long, lo long, hi long"))
+    asked = found.where("phrase <> 0").repartition(shards(source, 8, 16), "phrase")
+    return wholly.unionAll(found.where("phrase = 0").drop("phrase")).unionAll(asked.mapInArrow(_merge_shards, "doc_id long, rk long, lo long, hi long"))
 
 
 def _search_shard(rows: list, length: int):
