@@ -1,11 +1,13 @@
-"""License scan: an exact set-similarity join of text blocks with templates.
-
-Tokens are ordered by their frequency in the whole corpus, rare ones first. A
-block can contain a share t of a template's tokens only if it has one of the
-template's first |T| - ceil(t |T|) + 1 tokens (prefix filter), enough tokens of
-templates at all (length filter), and enough left after its first shared token
-(positional filter). What passes is compared exactly, so every block that meets
-the threshold is found.
+"""License scan: an exact set-similarity join of text windows with templates.
+
+The blocks of a text are all its windows of as many consecutive words as
+Templates.widths gives for the template; line ends do not count. Tokens are
+ordered by their frequency in the whole corpus, rare ones first. A window can
+contain a share t of a template's tokens only if it has one of the template's
+first |T| - ceil(t |T|) + 1 tokens (prefix filter) and if its text has enough of
+the template's tokens at all (length filter). In the texts that pass, the
+distinct tokens of every window are counted, so every window that meets the
+threshold is found.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ TEMPLATES = {
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0",
 }
 
-#: A line of more words is cut into blocks of this many, each half a block after the last.
+#: Words of a window at least; templates of more than half as many words get windows of twice their words.
 BLOCK_WORDS = 128
 
 
@@ -63,39 +65,51 @@ def _words(text: str) -> list[str]:
 
 
 class Templates:
-    """Templates as token lists in global order, with the index of their prefixes."""
+    """Templates as token numbers in global order, with their prefixes and window widths."""
 
     def __init__(self, templates: dict[str, str], threshold: float, frequency: dict[int, int]):
         self.labels = list(templates)
-        sets = [dict.fromkeys(_hash(_words(t)).tolist()) for t in templates.values()]
-        self.order = {h: i for i, h in enumerate(sorted({h for s in sets for h in s}, key=lambda h: (frequency.get(h, 0), h)))}
-        self.tokens = [sorted(s, key=self.order.__getitem__) for s in sets]
-        self.sets = [frozenset(s) for s in sets]
+        hashes = [_hash(_words(t)).tolist() for t in templates.values()]
+        order = {h: i for i, h in enumerate(sorted({h for own in hashes for h in own}, key=lambda h: (frequency.get(h, 0), h)))}
+        self.tokens = [np.array(sorted({order[h] for h in own}), np.int64) for own in hashes]
+        self.widths = [max(BLOCK_WORDS, 2 * len(own)) for own in hashes]
         self.least = [math.ceil(threshold * len(t) - 1e-9) for t in self.tokens]
-        self.prefix: dict[int, list[tuple[int, int]]] = {}
-        for number, tokens in enumerate(self.tokens):
-            for place, token in enumerate(tokens[: len(tokens) - self.least[number] + 1]):
-                self.prefix.setdefault(token, []).append((number, place))
-        self.vocabulary = np.array(sorted(self.order), np.uint64)
-        self.first = np.array(sorted(self.prefix), np.uint64)
-
-    def block(self, tokens: set[int]) -> list[tuple[int, float]]:
-        """(template, containment) of each template that the block meets."""
-        own = sorted(tokens & self.order.keys(), key=self.order.__getitem__)
-        found, tried = [], set()
-        for j, token in enumerate(own):
-            for number, i in self.prefix.get(token, ()):
-                if number in tried:
-                    continue
-                tried.add(number)
-                size, least = len(self.tokens[number]), self.least[number]
-                # In global order this is the first token that both have: none before it is shared.
-                if len(own) < least or 1 + min(size - i - 1, len(own) - j - 1) < least:
-                    continue
-                shared = len(self.sets[number].intersection(own))
-                if shared >= least:
-                    found.append((number, shared / size))
-        return found
+        self.prefix = [t[: max(0, len(t) - least + 1)] for t, least in zip(self.tokens, self.least)]
+        self.vocabulary = np.array(sorted(order), np.uint64)
+        self.numbers = np.array([order[h] for h in sorted(order)], np.int64)
+
+    def find(self, places: np.ndarray, tokens: np.ndarray, row: np.ndarray, rows: int):
+        """(row, template, containment) of each template that some window of a row meets, at its best window.
+
+        places: in words, ascending, of the words that are in the vocabulary; tokens: their numbers.
+        """
+        for number, own in enumerate(self.tokens):
+            least, width = self.least[number], self.widths[number]
+            if not len(self.prefix[number]):
+                continue
+            rare, mine = np.zeros(len(self.numbers), bool), np.zeros(len(self.numbers), bool)
+            rare[self.prefix[number]], mine[own] = True, True
+            some = np.zeros(rows, bool)
+            some[row[rare[tokens]]] = True
+            at = np.flatnonzero(mine[tokens] & some[row])
+            some = np.bincount(np.unique(row[at] * len(self.numbers) + tokens[at]) // len(self.numbers), minlength=rows) >= max(1, least)
+            at = at[some[row[at]]]
+            if not len(at):
+                continue
+            # Rows lie a window apart, so no window holds words of two.
+            place = places[at] + row[at] * width
+            by_token = np.lexsort((place, tokens[at]))
+            before = np.full(len(at), -1)
+            again = tokens[at][by_token[1:]] == tokens[at][by_token[:-1]]
+            before[by_token[1:][again]] = place[by_token[:-1][again]]
+            # A word is the first of its token in windows that begin after the one before it, up to itself.
+            # The best window begins at some word: count there the ranges that have begun and not ended.
+            begins = np.sort(np.maximum(before + 1, place - width + 1))
+            shared = np.searchsorted(begins, place, "right") - np.arange(len(at))
+            best = np.zeros(rows, np.int64)
+            np.maximum.at(best, row[at], shared)
+            for r in np.flatnonzero(best >= max(1, least)).tolist():
+                yield r, number, int(best[r]) / len(own)
 
 
 def _members(words: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -104,25 +118,13 @@ def _members(words: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, words), len(table) - 1)] == words
 
 
-def block_bounds(first: int, last: int, breaks: np.ndarray) -> list[tuple[int, int]]:
-    """Word ranges of one document's blocks; breaks: words that begin a line."""
-    edges = [first, *breaks.tolist(), last]
-    out = []
-    for lo, hi in zip(edges, edges[1:]):
-        while hi - lo > BLOCK_WORDS:
-            out.append((lo, lo + BLOCK_WORDS))
-            lo += BLOCK_WORDS // 2
-        out.append((lo, hi))
-    return out
-
-
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts the places of the base phrases; first_word and last_word are
     their least and greatest start (null without one). labels adds those of
-    templates that a block (a line; long lines in overlapping parts) contains to
-    the threshold. score is 1 with a base phrase, else the greatest containment
+    templates that a window of the text (max(128, twice the template's words)
+    consecutive words, over line ends) contains to the threshold. score is 1 with a base phrase, else the greatest containment
     of a template that was met, else 0. A null text is empty: no words, empty
     labels, score 0. Repeated rows repeat, a null doc_id stays null, an empty
     table gives no rows, further columns are not read.
@@ -175,20 +177,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
                         labels.setdefault(r, set()).add(label)
                 base = {r: sorted(x) for r, x in labels.items()}
                 score = (n_base > 0).astype(float)
-                hit = np.flatnonzero(_members(words, index.first))
-                if len(hit):
-                    lines = np.flatnonzero(data == 0x0A)
-                    breaks = np.searchsorted(starts, lines)
-                    for r in np.unique(row_of[hit]).tolist():
-                        a, b = first[r], first[r + 1]
-                        own = breaks[np.searchsorted(lines, offsets[r]) : np.searchsorted(lines, offsets[r + 1])]
-                        marks = hit[np.searchsorted(hit, a) : np.searchsorted(hit, b)]
-                        for lo, hi in block_bounds(int(a), int(b), own[(own > a) & (own < b)]):
-                            if np.searchsorted(marks, lo) == np.searchsorted(marks, hi):
-                                continue
-                            for number, share in index.block(set(words[lo:hi].tolist())):
-                                labels.setdefault(r, set()).add(index.labels[number])
-                                score[r] = max(score[r], share)
+                hit = np.flatnonzero(_members(words, index.vocabulary))
+                tokens = index.numbers[np.searchsorted(index.vocabulary, words[hit])]
+                for r, number, share in index.find(hit, tokens, row_of[hit], rows):
+                    labels.setdefault(r, set()).add(index.labels[number])
+                    score[r] = max(score[r], share)
                 none = most < 0
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(low, rows), pa.array(np.diff(first)), pa.array(n_base), pa.array(least, mask=none), pa.array(most, mask=none),
