@@ -3,8 +3,8 @@
 Each stage is a function (spark, docs, sf_dir) -> DataFrame on all that the one
 before kept, and returns the columns of its input; the last one returns the
 encoded documents. Null and repeated doc_ids, null texts, empty tables and
-further columns of any name pass through; rows that share a doc_id share a
-stage's decision on it.
+further columns of any name pass through. Stages decide on rows, not on ids:
+only rows of one doc_id and one text share a decision.
 """
 
 from __future__ import annotations
@@ -24,37 +24,52 @@ from ledgerspark.llm.suffix import remove_repeats
 MOST_BACKGROUND = 0.9
 
 
-#: Ids up to which a list of them is broadcast; a longer one meets the documents in a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Keys up to which a list of them is broadcast; a longer one meets the documents in a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def _key():
+    """A row's own key: a 64-bit hash of its doc_id and its text, either of which may be null."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The texts with their rows' keys in place of doc_id."""
+    return docs.select(_key().alias("doc_id"), "text")
 
 
 def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without those whose doc_id is in found."""
-    ids = cut(found.select(F.col("doc_id").alias("__id")).distinct(), "ids")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """docs without the rows whose key is in found's doc_id."""
+    keys = cut(found.select(F.col("doc_id").alias("__key")).distinct(), "keys")
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    return docs.join(side, _key() == F.col("__key"), "left_anti")
 
 
 def _rows_once(docs: DataFrame) -> DataFrame:
-    """docs with one row of each doc_id and text; only rows of repeated ids are moved."""
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
+    """docs with one row of each doc_id and text; only repeated rows are moved."""
+    again = docs.groupBy(_key().alias("__key")).agg(F.count("*").alias("n")).where("n > 1").select("__key")
     again = cut(again, "again")
     if again.isEmpty():
         return docs
-    on = F.col("doc_id").eqNullSafe(F.col("__id"))
+    on = _key() == F.col("__key")
     return docs.join(again, on, "left_anti").unionAll(docs.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those that no language explains."""
-    found = identify(docs, learn(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))))
+    found = identify(_keyed(docs), learn(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))))
     return _without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("background") > MOST_BACKGROUND)))
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one of least doc_id stays; of repeated rows one."""
-    classes = jaccard_classes(docs)
-    return _rows_once(_without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))))
+    """Of each group of similar rows the one of least doc_id (null first) stays, of several such rows
+    the one of least key; of repeated rows one."""
+    classes = cut(jaccard_classes(_keyed(docs)).where("doc_id <> component_id").distinct(), "classes")
+    member = classes.select(F.col("doc_id").alias("key"), "component_id").unionAll(classes.select(F.col("component_id").alias("key"), "component_id").distinct())
+    ids = docs.select(_key().alias("key"), "doc_id").distinct()
+    stays = member.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("least")).select(F.col("least.key").alias("key"))
+    return _rows_once(_without(docs, member.join(stays, "key", "left_anti").select(F.col("key").alias("doc_id"))))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +82,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+    found = decontaminate(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
     return _without(docs, found.where("contaminated"))
 
 
