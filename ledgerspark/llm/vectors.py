@@ -6,14 +6,18 @@ robust pruning keeps those that no kept one is much closer to. The adjacency
 lists of all shards are united. Then every node of a shard is searched for,
 greedily from the shard's medoids along the united graph, and a search that has
 come within range expands through everything in range. What is found is
-verified in double precision, and recall is audited against brute force for a
-bounded sample of queries; if it falls short, the build repeats with more overlap.
+verified in double precision, and recall is audited against brute force for
+sampled queries, more of them until they have enough true links. If it falls
+short, the build repeats with more overlap; if that is not enough either, all
+pairs are compared in blocks. Too few true links leave the graph not audited,
+which a warning and a null recall say.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,11 @@ FRONTIER = 1 << 14
 CANDIDATES, NEIGHBOURS, ALPHA, BEAM = 48, 24, 1.2, 32
 MEDOIDS = 8
 AUDIT_QUERIES, LEAST_RECALL = 256, 0.97
+#: True links that an audit needs, and queries up to which it looks for them.
+AUDIT_LINKS, MOST_AUDIT_QUERIES = 100, 1 << 14
+MOST_OVERLAP = 12
+#: Nodes of a block where all pairs are compared.
+EXACT_NODES = 4096
 
 
 # ---- graphs ----------------------------------------------------------------
@@ -282,23 +291,63 @@ def _link(nodes: DataFrame, threshold: float, count: int, overlap: int, beam: in
     return tasks.join(united, "id").groupBy("task").applyInArrow(search, "a long, b long").distinct()
 
 
-def audit_recall(nodes: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT_QUERIES) -> float:
-    """Share of the true links of a bounded hash sample of nodes that are among the links."""
+def audit_links(nodes: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT_QUERIES) -> tuple[int, int]:
+    """(found, true): true links of a bounded hash sample of nodes, and how many of them are among the links."""
     rows = nodes.orderBy(F.xxhash64("id", F.lit(11))).limit(queries).select("id", "vec").toArrow()
     ids, x = rows.column("id").to_numpy(), _unit(rows.column("vec")) if rows.num_rows else np.zeros((0, 1))
     shared = nodes.sparkSession.sparkContext.broadcast((ids, x))
 
     def scan(batches):
         ids, x = shared.value
-        for batch in batches:
-            q, node = np.nonzero(x @ _unit(batch.column("vec")).T >= threshold)
-            own = batch.column("id").to_numpy()[node]
-            a, b = np.minimum(ids[q], own), np.maximum(ids[q], own)
-            yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b])], names=["a", "b"])
+        for whole in batches:
+            for low in range(0, whole.num_rows, 512):
+                batch = whole.slice(low, 512)
+                q, node = np.nonzero(x @ _unit(batch.column("vec")).T >= threshold)
+                own = batch.column("id").to_numpy()[node]
+                a, b = np.minimum(ids[q], own), np.maximum(ids[q], own)
+                yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b])], names=["a", "b"])
 
     true = nodes.select("id", "vec").mapInArrow(scan, "a long, b long").distinct()
     total, found = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return found / total if total else 1.0
+    return found, total
+
+
+def audit_recall(nodes: DataFrame, links: DataFrame, threshold: float, count: int) -> float | None:
+    """Share of true links that are among the links, from as many queries as give AUDIT_LINKS true
+    links, or from all count nodes; None where MOST_AUDIT_QUERIES give fewer."""
+    queries = AUDIT_QUERIES
+    while True:
+        found, total = audit_links(nodes, links, threshold, queries)
+        if queries >= count:
+            return found / total if total else 1.0  # all nodes were compared
+        if total >= AUDIT_LINKS:
+            return found / total
+        if queries >= MOST_AUDIT_QUERIES:
+            return None
+        queries = min(MOST_AUDIT_QUERIES, queries * 8)
+
+
+def exact_links(nodes: DataFrame, threshold: float, count: int) -> DataFrame:
+    """a, b (a < b): all linked ids, every pair compared in double precision; each two blocks are a task."""
+    parts = max(1, math.ceil(count / EXACT_NODES))
+    rows = nodes.select("id", "vec").withColumn("own", F.pmod(F.xxhash64("id", F.lit(13)), F.lit(parts)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    rows = rows.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "vec")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, own, x = table.column("id").to_numpy(), table.column("own").to_numpy(), _unit(table.column("vec"))
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low in range(0, len(left), 512):
+            i, j = np.nonzero(x[left[low : low + 512]] @ x[right].T >= threshold)
+            i, j = ids[left[low + i]], ids[right[j]]
+            some = i < j if p == q else i != j
+            a.append(np.minimum(i, j)[some])
+            b.append(np.maximum(i, j)[some])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return rows.groupBy("p", "q").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -307,7 +356,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     Two vectors link if their cosine is threshold at least, in double precision.
     n_links counts the other vectors linked directly, equal ones included;
     component_id is the least vec_id that links reach; kept: vec_id is that.
-    recall is the audited share of true links. Null, empty, zero vectors and
+    recall is the audited share of true links, null where not audited. Null, empty, zero vectors and
     those with null or non-finite components link with nothing, as do vectors of
     different lengths. A null vec_id counts as least and stays null. Repeated
     rows are vectors of their own. An empty table gives no rows; further columns
@@ -321,7 +370,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     for (width,) in classes.select(F.octet_length("vec")).distinct().collect():
         nodes = classes.where(F.octet_length("vec") == width)
         own, part = _audited(nodes, threshold)
-        links, recall = own if links is None else links.unionAll(own), min(recall, part)
+        links, recall = own if links is None else links.unionAll(own), None if None in (recall, part) else min(recall, part)
     spark = vectors.sparkSession
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
@@ -332,15 +381,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     known = known.select("key", F.coalesce("component", "id").alias("least"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"))
     out = parsed.select("vec_id", "key").join(known, "key", "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("least", "vec_id").alias("least"))
     given = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(given("vec_id").alias("vec_id"), "n_links", given("least").alias("component_id"), (F.col("vec_id") == F.col("least")).alias("kept"), F.lit(float(recall)).alias("recall"))
+    return out.select(given("vec_id").alias("vec_id"), "n_links", given("least").alias("component_id"), (F.col("vec_id") == F.col("least")).alias("kept"), F.lit(recall).cast("double").alias("recall"))
 
 
-def _audited(nodes: DataFrame, threshold: float) -> tuple[DataFrame, float]:
+def _audited(nodes: DataFrame, threshold: float) -> tuple[DataFrame, float | None]:
     count = nodes.count()
     overlap, beam = 3, BEAM
     while True:
         links = cut(_link(nodes, threshold, count, overlap, beam), "links")
-        recall = audit_recall(nodes, links, threshold)
-        if recall >= LEAST_RECALL or overlap >= 12:
+        recall = audit_recall(nodes, links, threshold, count)
+        if recall is None:
+            warnings.warn(f"recall of the vector graph is not audited: {MOST_AUDIT_QUERIES} queries among {count} nodes have fewer than {AUDIT_LINKS} true links", stacklevel=2)
+            return links, None
+        if recall >= LEAST_RECALL:
             return links, recall
+        if overlap >= MOST_OVERLAP:
+            return cut(exact_links(nodes, threshold, count), "links"), 1.0
         overlap, beam = overlap * 2, beam * 2
