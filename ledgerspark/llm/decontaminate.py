@@ -232,7 +232,7 @@ def _decontaminate_large(docs: DataFrame, items: DataFrame, n: int) -> DataFrame
                 lo, hi = np.array([s["lo"] for s in spans or ()], np.int64), np.array([s["hi"] for s in spans or ()], np.int64)
                 _, lo, hi = merge_spans(np.zeros(len(lo), np.int64), lo, hi)
                 counts.append(int((hi - lo).sum()))
-            n_words = [int(first[-1]) for _, _, data, offsets in text_blocks(batch.column("text"), 1) for _, first in [hash_words(data, offsets)]]
+            n_words = np.concatenate([np.zeros(0, np.int64), *(np.diff(hash_words(data, offsets)[1]) for _, _, data, offsets in text_blocks(batch.column("text")))])
             items_of = [x or [] for x in batch.column("items").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(counts, pa.int64()), pa.array([len(x) for x in items_of], pa.int64()), pa.array([_digest(x) for x in items_of]), pa.array([c > 0 for c in counts])], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
