@@ -25,7 +25,6 @@ TRAIN_PER_LANGUAGE = 4000
 BUCKETS = 1 << 16
 SEGMENT = 32
 ROUNDS = 6
-MOST_LANGUAGES = 4
 _STEP = 1 << 20
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -124,7 +123,7 @@ def infer(buckets: np.ndarray, first: np.ndarray, table: np.ndarray, prior: np.n
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
     best, chosen = np.full(len(some), -np.inf), full
     penalty = 0.5 * np.log(count + 1) + 2
-    for k in range(1, min(n_lang + 1, MOST_LANGUAGES) + 1):
+    for k in range(1, n_lang + 2):
         # The set of one language needs no rounds; the nested sets start from the full estimate.
         part, value = mixture(weight, seg_row, seg_first, rank < k, full + 1e-6, 0 if k == 1 else 3)
         value = value - penalty * k
