@@ -5,15 +5,18 @@ first, the most frequent last. Two sets of the wanted similarity share one of
 their first |S| - ceil(t |S|) + 1 n-grams, so sets that share none never meet;
 n-grams of one document are not even sent. Equal sets are one node.
 
-Candidates are compared in tries: the sets that a probe must be compared with
-lie in a trie along the global order; a walk through it shares the overlap of
-common paths, and leaves subtrees in which the remaining lengths cannot reach
-the needed overlap.
-
-Groups of similar documents are not expanded into pairs. First each n-gram
-links its nodes to the least one of them. Only n-grams that then still hold
-nodes of different components give pairs across components, each of which is
-compared; so no link between components is lost.
+Similar sets are found in tries (see tries.py): the sets of a share lie in a
+trie along the global order; a probe goes down all of it at once, shares the
+overlap of common paths, and leaves subtrees in which the remaining lengths
+cannot reach the need.
+
+A set is not sent for each of its n-grams. First it goes to the shares of two
+of them, chosen by hash, where near copies meet; that joins most of what
+belongs together. Of n-grams that then still hold several classes, a set goes
+once to the trie of each other class that it meets, from the smaller class to
+the larger; where an n-gram holds very many classes, its sets go to the tries
+of that n-gram instead. So every pair of classes that can be similar is
+compared, and no row is made for a pair of sets within a class.
 """
 
 from __future__ import annotations
@@ -26,16 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .copies import collapse, keyed
 from .kernels import LOWER, NON_SPACE, gram_hashes, span_hashes, text_blocks, window_rows, word_spans
 from .repeats import Repeats, find_repeats
-from .store import cut, given_id, texts
+from .store import cut, given_id, shards
+from .tries import link
 
-#: Sets in one trie.
-TRIE_SETS = 256
-#: Parts into which the sets that meet one probe are dealt.
-PROBE_PARTS = 64
-#: Rounds in which n-grams link their nodes to a central one, before pairs are listed.
-STAR_ROUNDS = 2
+#: Sets in one trie; a share of more is dealt to several.
+TRIE_SETS = 1024
+#: Shares that every set goes to in the first round.
+FIRST_SHARES = 2
+#: Classes of one n-gram up to which a set goes to the trie of each.
+MOST_CLASSES = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -54,83 +59,52 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     return out
 
 
-def in_order(tokens: np.ndarray, repeats: Repeats) -> tuple[np.ndarray, np.ndarray]:
-    """The set in global order, and each n-gram's level: 0 if no other document has it."""
+def in_order(tokens: np.ndarray, repeats: Repeats) -> np.ndarray:
+    """The n-grams that other documents may have too, in global order. All others stand before them."""
     level = repeats.level(tokens) + repeats.hot_count(tokens)
     order = np.lexsort((tokens, level))
-    return tokens[order], level[order]
-
-
-class Walk:
-    """Compares a probe with sets of a trie, which stand one after another in path order."""
-
-    def __init__(self, probe: np.ndarray, percent: int):
-        self.probe, self.percent = np.sort(probe), percent
-        self.path, self.overlap = np.zeros(0, np.uint64), np.zeros(1, np.int64)
-
-    def needed(self, size: int) -> int:
-        """Least overlap with a set of so many n-grams."""
-        return -(-self.percent * (size + len(self.probe)) // (100 + self.percent))
-
-    def similar(self, tokens: np.ndarray) -> bool:
-        n = min(len(tokens), len(self.path))
-        differ = np.flatnonzero(tokens[:n] != self.path[:n])
-        depth = int(differ[0]) if len(differ) else n
-        counts = [self.overlap[: depth + 1]]
-        need, shared = self.needed(len(tokens)), int(self.overlap[depth])
-        # The path that is already walked, then 64 nodes at a time while the rest can suffice.
-        while depth < len(tokens) and shared + min(len(tokens) - depth, len(self.probe) - shared) >= need:
-            part = tokens[depth : depth + 64]
-            at = np.minimum(np.searchsorted(self.probe, part), len(self.probe) - 1)
-            more = shared + np.cumsum(self.probe[at] == part)
-            counts.append(more)
-            shared, depth = int(more[-1]), depth + len(part)
-        self.path, self.overlap = tokens[:depth], np.concatenate(counts)
-        return depth == len(tokens) and shared >= need
-
-
-def compare(probe: np.ndarray, sets: list[tuple[bytes, np.ndarray]], percent: int) -> list[bytes]:
-    """Names of the sets that are similar to the probe."""
-    walk, found = Walk(probe, percent), []
-    for name, tokens in sorted(sets, key=lambda x: x[1].tobytes()):  # path order: equal beginnings stand together
-        if walk.similar(tokens):
-            found.append(name)
-    return found
-
-
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that are similar; sets: node, tokens (one row for each node)."""
-    part = F.pmod(F.xxhash64("b"), F.lit(PROBE_PARTS))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sides = pairs.withColumn("part", part).join(sets, F.col("b") == F.col("node")).select("a", "part", F.lit(1).alias("kind"), "b", "tokens")
-    probes = pairs.withColumn("part", part).select("a", "part").distinct().join(sets, F.col("a") == F.col("node")).select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("b"), "tokens")
-    rows = probes.unionAll(sides)
-    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "kind")
-
-    def walk(batches):
-        probe = name = key = None
-        sets: list[tuple[bytes, np.ndarray]] = []
+    return tokens[order[np.searchsorted(level[order], 1) :]]
+
+
+def _deal(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows with n, the tries that the sets of a key are dealt to, and salt, the one of this set."""
+    many = rows.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(TRIE_SETS)).cast("int").alias("n")).where("n > 1")
+    return rows.join(many, key, "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+
+
+#: Columns of a set in a share: the share's names, kind 0 (stored), 1 (probe) or 2 (both), and the set.
+_ROW = ["share", "salt", "other", "kind", "id", "class", "size", "tokens"]
+
+
+def _search(rows: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Links (a, b) that the tries of all shares give. rows: share, salt, other, kind, node, id, class."""
+    rows = rows.join(sets.select("node", "size", "tokens"), "node").select(*_ROW)
+    rows = rows.repartition(parts, "share", "salt", "other").sortWithinPartitions("share", "salt", "other", "kind")
+
+    def run(batches):
+        key, stored, probes, size = None, [], [], 0
 
         def flush():
-            found = compare(probe, sets, percent) if sets else []
-            sets.clear()
-            return pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.binary()), pa.array(found, pa.binary())], names=["a", "b"])
+            both = bool(stored) and not probes
+            found = link(stored, probes, percent, both) if stored and (both and len(stored) > 1 or probes) else []
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for a, part, kind, b, tokens in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "kind", "b", "tokens"))):
-                if (a, part) != key or len(sets) >= TRIE_SETS:
-                    if sets:
+            names = [batch.column(c).to_pylist() for c in ("share", "salt", "other", "kind", "id", "class", "size")]
+            for *share, kind, own, known, n, blob in zip(*names, batch.column("tokens")):
+                if share != key or len(probes) >= TRIE_SETS:
+                    if stored:
                         yield flush()
-                    key = (a, part)
-                if kind == 0:
-                    probe, name = np.frombuffer(tokens, np.uint64), a
-                else:
-                    sets.append((b, np.frombuffer(tokens, np.uint64)))
-        if sets:
+                    probes = []
+                    if share != key:
+                        key, stored = share, []
+                # A copy: the batch's buffer must not outlive the batch.
+                row = (own, known, n, np.frombuffer(blob.as_buffer(), np.uint64).copy())
+                (probes if kind == 1 else stored).append(row)
+        if stored:
             yield flush()
 
-    return rows.mapInArrow(walk, "a binary, b binary")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -144,75 +118,86 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     such an id and stays null. An empty table gives no rows; further columns are
     not read.
     """
-    source = texts(docs)
-    density = 1 / 6.5
+    source = keyed(docs)
 
     def fingerprints(data, offsets):
         return np.concatenate([np.zeros(0, np.uint64), *shingle_sets(data, offsets, n)])
 
-    repeats = source.sparkSession.sparkContext.broadcast(find_repeats(source, fingerprints, density))
+    # Equal texts count once: what only they share is not repeated.
+    repeats = source.sparkSession.sparkContext.broadcast(find_repeats(collapse(source)[0], fingerprints, 1 / 6.5))
     schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.binary()), ("prefix", pa.list_(pa.int64())), ("tokens", pa.binary())])
 
     def build(batches):
-        found = repeats.value
+        found, given = repeats.value, set()
         for batch in batches:
             ids = batch.column("doc_id")
             for low, high, data, offsets in text_blocks(batch.column("text")):
                 size, node, prefix, tokens = [], [], [], []
                 for own in shingle_sets(data, offsets, n):
+                    name = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                     size.append(len(own))
-                    node.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                    own, level = in_order(own, found)
-                    first = own[: len(own) - -(-percent * len(own) // 100) + 1]
-                    met = first[level[: len(first)] > 0]
+                    node.append(name)
+                    shared, most = own[:0], len(own) - -(-percent * len(own) // 100)
+                    if name not in given:  # a set goes on once from a task
+                        shared = in_order(own, found)
+                    met = shared[: max(0, most + 1 - (len(own) - len(shared)))]
                     prefix.append(met.view(np.int64) if len(met) else None)
-                    tokens.append(own.tobytes() if len(met) else None)
+                    tokens.append(shared.tobytes() if len(met) else None)
+                    if len(met) and len(given) < 1 << 16:
+                        given.add(name)
                 yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(prefix, schema.field("prefix").type), pa.array(tokens, pa.binary())], schema=schema)
 
-    table = cut(source.mapInArrow(build, "doc_id long, size long, node binary, prefix array<long>, tokens binary"), "sets")
-    sets = table.where("tokens is not null").select("node", "tokens")
-    entries = cut(table.where("prefix is not null").select(F.explode("prefix").alias("gram"), "node", "size", F.size("prefix").alias("met")).distinct(), "prefixes")
-    links = class_links(entries, sets, percent)
-    # The least doc_id of equal sets stands for them: links of nodes become links of documents.
-    least = table.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = links.join(least.select(F.col("node").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("node").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    equal = table.where("size > 0").select("node", "doc_id").join(least, "node").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    classes = components(named.unionAll(equal))
+    table = cut(source.select("doc_id", "text").mapInArrow(build, "doc_id long, size long, node binary, prefix array<long>, tokens binary"), "table")
+    least = table.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("id"))
+    sets = table.where("tokens is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
+    sets = cut(sets.join(least, "node"), "sets")
+    # The least doc_id of equal sets stands for them.
+    equal = table.where("size > 0").select("node", "doc_id").join(least, "node").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    classes = class_links(sets, equal, shards(source, 8, 16), percent)
     out = table.select("doc_id", "size").join(classes, F.col("doc_id") == F.col("id"), "left")
     return out.select(given_id(), F.col("size").alias("n_shingles"), F.when(F.coalesce("component", "doc_id") != F.lit(-(1 << 63)), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def class_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of nodes whose components are those of all links. entries: gram, node, size, met
-    (how many of the node's first n-grams other documents have: most in the middle of a group).
-
-    Stars shrink what is left to compare: each round an n-gram links its nodes
-    to its most central one, then to the most central one of another component.
-    """
-    close = f"100 * least(size, other) >= {percent} * greatest(size, other)"
-    several = entries.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", "n")
-    rest = cut(entries.join(several, "gram").withColumn("class", F.col("node")), "met")
-    tried = links = None
-    for _ in range(STAR_ROUNDS):
-        lead = rest.groupBy("gram").agg(F.max(F.struct("met", "node", "class", "size")).alias("top"))
-        star = rest.join(lead, "gram").select(F.col("top.node").alias("x"), F.col("top.class").alias("mine"), F.col("top.size").alias("other"), "node", "class", "size").where("mine <> class").where(close)
-        star = star.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        star = cut(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "pairs")
-        own = cut(_links(star, sets, percent), "links")
-        tried, links = (star, own) if tried is None else (tried.unionAll(star), links.unionAll(own))
-        rest = _still_mixed(rest, components(links))
-    # What is left: every pair of different components that share an n-gram, from the smaller side.
-    sizes = rest.groupBy("gram", "class").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("gram").agg(F.max_by("class", F.struct("n", "class")).alias("major"))
-    minor = rest.join(major, "gram").where("class <> major").select("gram", F.col("node").alias("x"), F.col("size").alias("other"), F.col("class").alias("mine"))
-    across = minor.join(rest, "gram").where("mine <> class").where(close).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-    return links.unionAll(_links(across, sets, percent))
-
-
-def _still_mixed(rest: DataFrame, known: DataFrame) -> DataFrame:
-    """Entries of n-grams that hold nodes of several components, with those components as class."""
-    rest = rest.drop("class").join(known, F.col("node") == F.col("id"), "left").select("gram", "node", "size", "met", "n", F.coalesce("component", "node").alias("class"))
-    rest = cut(rest, "rest")
-    mixed = rest.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("gram")
-    return cut(rest.join(mixed, "gram", "left_semi"), "mixed")
+def class_links(sets: DataFrame, equal: DataFrame, parts: int, percent: int) -> DataFrame:
+    """id, component of the documents that have links; equal: links (a, b) that are known.
+    sets: node, id (the document that stands for it), size, prefix, tokens."""
+    picks = [F.array_min(F.transform("prefix", lambda g, i=i: F.xxhash64(g, F.lit(i)))) for i in range(FIRST_SHARES)]
+    shares = _deal(sets.select("node", "id", F.explode(F.array_distinct(F.array(*picks))).alias("share")), ["share"])
+    first = shares.select("share", "salt", F.lit(0).alias("other"), F.lit(2).alias("kind"), "node", "id", F.col("id").alias("class"))
+    known = cut(components(cut(_search(first, sets, parts, percent), "links").unionAll(equal)), "classes")
+    # N-grams that still hold several classes.
+    entries = sets.select("node", "id", "size", F.explode("prefix").alias("gram")).join(known.withColumnRenamed("component", "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    entries = cut(entries, "entries")
+    mixed = entries.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("gram")
+    mixed = cut(entries.join(mixed, "gram", "left_semi"), "mixed")
+    weight = mixed.select("class", "node").distinct().groupBy("class").agg(F.count("*").alias("weight"))
+    held = mixed.groupBy("gram", "class").agg(F.min("size").alias("lo"), F.max("size").alias("hi")).join(weight, "class")
+    held = cut(held, "held")
+    count = held.groupBy("gram").agg(F.count("*").alias("k"))
+    light, heavy = count.where(F.col("k") <= MOST_CLASSES).select("gram"), count.where(F.col("k") > MOST_CLASSES).select("gram")
+    # A set and another, larger class that has its n-gram: it goes to the trie of that class, once.
+    light_held = held.join(light, "gram", "left_semi")
+    mine = mixed.join(light_held.select("gram", "class", "weight"), ["gram", "class"])
+    other = light_held.select("gram", F.col("class").alias("share"), F.col("weight").alias("most"), "lo", "hi")
+    meet = mine.join(other, "gram").where("weight < most or (weight = most and class < share)").where(f"100 * size >= {percent} * lo and 100 * hi >= {percent} * size")
+    meet = cut(meet.select("node", "id", "class", "share").distinct(), "meet")
+    stored = mixed.select("node", "id", "class").distinct().join(meet.select(F.col("share").alias("class")).distinct(), "class", "left_semi")
+    stored = _deal(stored.withColumn("share", F.col("class")), ["share"])
+    tries = stored.select("share", "n").distinct()
+    probes = meet.join(tries, "share").select("share", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.lit(0).alias("other"), F.lit(1).alias("kind"), "node", "id", "class")
+    rows = stored.select("share", "salt", F.lit(0).alias("other"), F.lit(0).alias("kind"), "node", "id", "class").unionAll(probes)
+    # Sets of an n-gram with very many classes: each trie of it meets each other one.
+    dealt = _deal(mixed.join(heavy, "gram", "left_semi").select("node", "id", "class", F.col("gram").alias("share")), ["share"])
+    dealt = dealt.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    kind = F.when(F.col("at") == F.col("salt"), 2).when(F.col("at") > F.col("salt"), 0).otherwise(1)
+    many = dealt.select("share", F.least("salt", "at").alias("salt"), F.greatest("salt", "at").alias("other"), kind.alias("kind"), "node", "id", "class")
+    more = _search(rows, sets, parts, percent).unionAll(_search(many, sets, parts, percent))
+    # Links of the second round join classes of the first.
+    name = known.select("id", "component")
+    more = cut(more, "links")
+    side = lambda c: F.coalesce(F.col(f"{c}c"), F.col(c)).alias(c)
+    more = more.join(name.toDF("a", "ac"), "a", "left").join(name.toDF("b", "bc"), "b", "left").select(side("a"), side("b"))
+    joined = cut(components(more), "joined").toDF("component", "whole")
+    old = known.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    alone = joined.join(known, joined["component"] == known["id"], "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component"))
+    return old.unionAll(alone)
