@@ -104,7 +104,8 @@ def _search(rows: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataF
         if stored:
             yield flush()
 
-    return rows.mapInArrow(run, "a long, b long")
+    # Few links come of many tasks: they are gathered, so that the next table has few files.
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
