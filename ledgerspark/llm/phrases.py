@@ -2,16 +2,21 @@
 
 Every window of n words has one anchor: the least of its GRAM-word hashes
 (winnowing), so equal windows have equal anchors. A first pass finds which
-anchors occur in several documents. A second sends the surroundings of those
-anchors, as word hashes, to the share of the anchor. There phrases that recur
-in several documents are confirmed, compiled into an Aho-Corasick automaton,
-and everything that came to the share streams through it, which gives every
-occurrence. Words of occurrences outside the first document are removed.
+anchors occur in several documents. A second sends the words around those
+anchors to the shard of the anchor. There phrases that several documents hold
+are confirmed and compiled into an Aho-Corasick automaton over word numbers,
+and all that came to the shard streams through it: it locates every occurrence,
+and of each phrase the least document. Words of occurrences elsewhere go.
+
+Anchors that very many documents hold are not sent. Their phrases are confirmed
+by counts that every task sums up before it sends them, automata of the
+confirmed ones go to all tasks, and the documents stream through them in place.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import ahocorasick
 import numpy as np
@@ -19,31 +24,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import NON_SPACE, binary_array, covered, gram_hashes, merge_spans, ranges, span_hashes, text_blocks, window_rows, winnow, word_spans
+from .copies import BROADCAST_BYTES, KEY, collapse, keyed, small
+from .kernels import NON_SPACE, binary_array, covered, gram_hashes, merge_spans, mix, ranges, span_hashes, text_blocks, window_rows, winnow, word_spans
 from .repeats import find_repeats
-from .store import cut, given_id, shards, texts
+from .store import cut, given_id, shards
 
 GRAM = 5
-#: Rows of an anchor that one task takes; a more frequent anchor is dealt to several.
+#: Documents from which on an anchor's phrases are not sent to a shard.
 ROWS_PER_ANCHOR = 4096
 #: Rows that one automaton is compiled for and then sees.
 CHUNK_ROWS = 8192
+#: Phrases of frequent anchors in one automaton.
+PHRASES = 1 << 16
+#: End of a span that covers all words, if these are a window at least.
+WHOLE = -1
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, n: int):
-    """Word hashes and rows' first words; anchor hash, first window, and windows of each run of
-    windows that share an anchor."""
+    """Starts and ends of words and rows' first words; anchor hash, first window, number of windows and
+    row of each run of windows that share an anchor."""
     starts, ends, first = word_spans(data, offsets, NON_SPACE)
     words = span_hashes(data, starts, ends)
     windows, rows = window_rows(first, n)
     if not len(windows):
         none = np.zeros(0, np.int64)
-        return words, first, np.zeros(0, np.uint64), none, none, none
+        return starts, ends, first, np.zeros(0, np.uint64), none, none, none
     grams = gram_hashes(words, GRAM)
     least = grams[winnow(grams, n - GRAM + 1)[windows]]
     # Runs go by the hash, not by its place: text that repeats itself stays one run.
     new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])])
-    return words, first, least[new], windows[new], np.diff(np.append(new, len(windows))), rows[new]
+    return starts, ends, first, least[new], windows[new], np.diff(np.append(new, len(windows))), rows[new]
 
 
 def _distinct(h: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -53,138 +63,182 @@ def _distinct(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return h[np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]] if len(h) else h
 
 
-def _marks(words: list[np.ndarray], size: np.ndarray, doc: np.ndarray, group: np.ndarray, n: int, carry: dict):
-    """Per window of the rows: its row, its place in the row, its hash, and the least document of
-    its phrase; and whether the automaton found it outside that document.
+def _occurrences(automaton: ahocorasick.Automaton, pieces: list[list[int]], n: int):
+    """(piece, first word, value) of every occurrence that the automaton locates."""
+    found = [(i, end - n + 1, value) for i, ids in enumerate(pieces) for end, value in automaton.iter(tuple(ids))]
+    return np.array(found, np.int64).reshape(-1, 3).T
 
-    carry: (group, {phrase: least document}) of a group that goes on from the last chunk.
+
+def _compile(phrases) -> ahocorasick.Automaton:
+    """phrases: (word numbers, value)."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for words, value in phrases:
+        automaton.add_word(tuple(words), value)
+    automaton.make_automaton()
+    return automaton
+
+
+def _locate(pieces: list[list[bytes]], doc: np.ndarray, n: int, earlier: dict[bytes, int]):
+    """(piece, first word) of phrases of the pieces that also stand in a lesser document.
+
+    earlier: least documents of phrases that came before. Equal hashes of numbers
+    only choose what is worth a place in the automaton.
     """
-    flat = np.concatenate(words)
-    begin = np.concatenate(([0], np.cumsum(size)))
+    numbers: dict[bytes, int] = {}
+    ids = [[numbers.setdefault(w, len(numbers)) for w in p] for p in pieces]
+    flat = np.array([i for p in ids for i in p], np.uint64)
+    begin = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
     start, row = window_rows(begin, n)
-    phrase = gram_hashes(flat, n)[start] ^ group[row]
-    keys, inverse = np.unique(phrase, return_inverse=True)
-    least = np.full(len(keys), np.iinfo(np.int64).max)
-    most = np.full(len(keys), np.iinfo(np.int64).min)
+    _, one, inverse = np.unique(gram_hashes(mix(flat), n)[start], return_index=True, return_inverse=True)
+    least, most = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
     np.minimum.at(least, inverse, doc[row])
     np.maximum.at(most, inverse, doc[row])
-    if carry:
-        for i, key in enumerate(keys.tolist()):
-            if key in carry:
-                least[i] = min(least[i], carry[key])
-    confirmed = np.flatnonzero(most > least)
-    hit = np.zeros(len(start), bool)
-    if len(confirmed):
-        # One automaton for all confirmed phrases; each is a sequence of n word hashes.
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        one = np.full(len(keys), -1)
-        one[inverse] = np.arange(len(inverse))
-        short = (flat >> np.uint64(32)).astype(np.uint32)
-        grid = short[start[one[confirmed]][:, None] + np.arange(n)]
-        for phrase_words, key in zip(grid.tolist(), confirmed.tolist()):
-            automaton.add_word(tuple(phrase_words), key)
-        automaton.make_automaton()
-        first_window = np.concatenate(([0], np.cumsum(np.maximum(size - n + 1, 0))))
-        found = []
-        tokens, edges, base = short.tolist(), begin.tolist(), first_window.tolist()
-        for r in range(len(size)):
-            for end, _ in automaton.iter(tuple(tokens[edges[r] : edges[r + 1]])):
-                found.append(base[r] + end - n + 1)
-        at = np.array(found, np.int64)
-        # The exact check: the phrase found is this window's own, in a later document.
-        hit[at] = doc[row[at]] > least[inverse[at]]
-    return row, start - begin[row], phrase, keys, least, hit
+    wanted = most > least
+    before = {}
+    for words, first in earlier.items():
+        known = [numbers.get(w) for w in words.split()]
+        if None not in known:
+            before[tuple(known)] = first
+    confirmed = [flat[start[i] : start[i] + n].astype(np.int64).tolist() for i in one[wanted]]
+    confirmed = list(dict.fromkeys([*map(tuple, confirmed), *before]))
+    if not confirmed:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    piece, at, phrase = _occurrences(_compile((w, i) for i, w in enumerate(confirmed)), ids, n)
+    first = np.array([before.get(w, np.iinfo(np.int64).max) for w in confirmed])
+    np.minimum.at(first, phrase, doc[piece])
+    late = doc[piece] > first[phrase]
+    return piece[late], at[late]
+
+
+def _phrases_of(pieces: list[list[bytes]], doc, n: int, into: dict) -> dict:
+    """{phrase: [least, greatest document]} of the pieces' windows, added to into."""
+    for words, own in zip(pieces, doc):
+        for i in range(len(words) - n + 1):
+            seen = into.setdefault(b" ".join(words[i : i + n]), [own, own])
+            seen[0], seen[1] = min(seen[0], own), max(seen[1], own)
+    return into
+
+
+def _runs(batches, found, n: int, hot: bool):
+    """For each block of texts: document, key, first word, anchor, and start and end in the bytes of the
+    words around each repeated anchor, either of the frequent ones or of the others; and the bytes."""
+    for batch in batches:
+        docs, keys = batch.column("doc_id").to_numpy(), batch.column("rk").to_numpy()
+        for low, high, data, offsets in text_blocks(batch.column("text")):
+            starts, ends, first, h, at, count, row = anchors(data, offsets, n)
+            keep = found.has(h) & ((found.hot_count(h) > 0) == hot)
+            h, at, count, row = h[keep], at[keep], count[keep], row[keep]
+            if len(h):
+                yield docs[low:high][row], keys[low:high][row], at - first[:-1][row], h, starts[at], ends[at + count + n - 2], data
 
 
 def find_spans(source: DataFrame, n: int) -> DataFrame:
-    """doc_id, rk, lo, hi: word ranges to remove, as found; they can overlap. source: doc_id, rk, text."""
-    density = 2 / (n - GRAM + 2) / 6
+    """doc_id, rk, lo, hi: word ranges to remove, as found; they can overlap. source: as of keyed()."""
+    own, several = collapse(source)
+    own = own.where(F.octet_length("text") >= 2 * n - 1)
 
     def fingerprints(data, offsets):
-        _, _, h, _, _, row = anchors(data, offsets, n)
+        *_, h, _, _, row = anchors(data, offsets, n)
         return _distinct(h, row)
 
     spark = source.sparkSession
-    repeats = spark.sparkContext.broadcast(find_repeats(source, fingerprints, density, ROWS_PER_ANCHOR))
+    repeats = find_repeats(own, fingerprints, 2 / (n - GRAM + 2) / 6, ROWS_PER_ANCHOR)
+    frequent = len(repeats.hot) > 0
+    repeats = spark.sparkContext.broadcast(repeats)
 
     def send(batches):
-        found = repeats.value
+        for doc, key, at, h, lo, hi, data in _runs(batches, repeats.value, n, False):
+            around = binary_array(data[ranges(lo, hi - lo)], np.concatenate(([0], np.cumsum(hi - lo))))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(key), pa.array(at.astype(np.int32)), around], names=["anchor", "doc_id", "rk", "at", "around"])
+
+    sent = own.mapInArrow(send, "anchor long, doc_id long, rk long, at int, around binary")
+    sent = sent.repartition(shards(source, 8, 16), "anchor").sortWithinPartitions("anchor", "doc_id")
+
+    def chunks(batches):
         for batch in batches:
-            docs = batch.column("doc_id").to_numpy()
-            keys = batch.column("rk").to_numpy()
-            for low, high, data, offsets in text_blocks(batch.column("text")):
-                words, first, h, at, count, row = anchors(data, offsets, n)
-                keep = found.has(h)
-                h, at, count, row = h[keep], at[keep], count[keep], row[keep]
-                if not len(h):
-                    continue
-                size = count + n - 1
-                doc = docs[low:high][row]
-                deal = found.hot_count(h) // ROWS_PER_ANCHOR + 1
-                salt = ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % deal
-                blob = words[ranges(at, size)].view(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(np.where(deal > 1, salt, -1).astype(np.int32)), pa.array(doc), pa.array(keys[low:high][row]), pa.array((at - first[:-1][row]).astype(np.int32)), binary_array(blob, np.concatenate(([0], np.cumsum(size * 8))))],
-                    names=["anchor", "salt", "doc_id", "rk", "at", "words"],
-                )
-
-    sent = source.mapInArrow(send, "anchor long, salt int, doc_id long, rk long, at int, words binary")
-    dealt = sent.repartition(shards(source, 8, 16), "anchor", "salt").sortWithinPartitions("anchor", "salt", "doc_id")
+            yield from (batch.slice(low, CHUNK_ROWS) for low in range(0, batch.num_rows, CHUNK_ROWS))
 
     def locate(batches):
-        carry_group, carry = None, {}
-        for whole in batches:
-            for low in range(0, whole.num_rows, CHUNK_ROWS):
-                batch = whole.slice(low, CHUNK_ROWS)
-                anchor, salt, doc, rk, at = (batch.column(c).to_numpy() for c in ("anchor", "salt", "doc_id", "rk", "at"))
-                raw = batch.column("words")
-                words = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw]
-                size = np.array([len(x) for x in words])
-                group = anchor.view(np.uint64)
-                begins_same = carry_group == (int(anchor[0]), int(salt[0]))
-                row, place, phrase, keys, least, hit = _marks(words, size, doc, group, n, carry if begins_same else {})
-                carry_group = (int(anchor[-1]), int(salt[-1]))
-                last = (anchor[row] == anchor[-1]) & (salt[row] == salt[-1])
-                own = np.unique(phrase[last])
-                more = dict(zip(own.tolist(), least[np.searchsorted(keys, own)].tolist()))
-                if begins_same and (anchor[0], salt[0]) == (anchor[-1], salt[-1]):
-                    carry |= {k: min(v, carry.get(k, v)) for k, v in more.items()}
-                else:
-                    carry = more
-                lo = at[row].astype(np.int64) + place
-                w = np.flatnonzero(hit)
-                r, a, b = merge_spans(row[w], lo[w], lo[w] + n)
-                yield _span_batch(doc[r], rk[r], a, b, np.zeros(len(r), np.int64))
-                # Dealt-out anchors: phrases not yet found elsewhere meet those of the other tasks.
-                w = np.flatnonzero((salt[row] >= 0) & ~hit)
-                if len(w):
-                    yield _span_batch(doc[row[w]], rk[row[w]], lo[w], lo[w] + n, phrase[w].view(np.int64) | 1)
-
-    found = cut(dealt.mapInArrow(locate, "doc_id long, rk long, lo long, hi long, phrase long"), "phrases")
-    sure, rest = found.where("phrase = 0").drop("phrase"), found.where("phrase <> 0")
-    first = rest.groupBy("phrase").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    late = rest.join(first, "phrase").where("doc_id > first_doc").select("doc_id", "rk", "lo", "hi")
-    return sure.unionAll(late)
-
-
-def _span_batch(doc, rk, lo, hi, phrase) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, rk, lo, hi, phrase)], names=["doc_id", "rk", "lo", "hi", "phrase"])
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and rk, a hash of the text: rows of one id stay apart unless their texts are equal."""
-    return texts(docs).withColumn("rk", F.xxhash64("text"))
+        parts = chunks(batches)
+        now, anchor, earlier = next(parts, None), None, {}
+        while now is not None:
+            after = next(parts, None)
+            h, doc, key, at = (now.column(c).to_numpy() for c in ("anchor", "doc_id", "rk", "at"))
+            pieces = [p.split() for p in now.column("around").to_pylist()]
+            piece, first = _locate(pieces, doc, n, earlier if anchor == h[0] else {})
+            lo = at[piece] + first
+            row, lo, hi = merge_spans(piece, lo, lo + n)
+            yield _span_batch(doc[row], key[row], lo, hi)
+            if after is not None and after.column("anchor")[0].as_py() == h[-1]:
+                # The anchor goes on: its phrases are handed to the next automaton with their least documents.
+                last = np.flatnonzero(h == h[-1])
+                new = _phrases_of([pieces[i] for i in last], doc[last].tolist(), n, {})
+                known = earlier if anchor == h[-1] else {}
+                earlier = known | {w: min(d[0], known.get(w, d[0])) for w, d in new.items()}
+            else:
+                earlier = {}
+            anchor, now = h[-1], after
+
+    found = sent.mapInArrow(locate, _SPAN)
+    if frequent:
+        found = found.unionAll(_frequent(own, repeats, n))
+    # All rows of a text but those of the least document go whole.
+    copies = source.select("doc_id", *KEY).join(small(several), KEY).where("doc_id > least")
+    return cut(found, "phrases").unionAll(copies.select("doc_id", "rk", F.lit(0).cast("long").alias("lo"), F.lit(WHOLE).cast("long").alias("hi")))
+
+
+def _frequent(own: DataFrame, repeats, n: int) -> DataFrame:
+    """Spans of phrases with frequent anchors."""
+
+    def gather(batches):
+        for doc, _, _, _, lo, hi, data in _runs(batches, repeats.value, n, True):
+            raw = data.tobytes()
+            found = _phrases_of([raw[a:b].split() for a, b in zip(lo.tolist(), hi.tolist())], doc.tolist(), n, {})
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), *(pa.array([d[k] for d in found.values()], pa.int64()) for k in (0, 1))], names=["phrase", "least", "most"])
+
+    met = own.mapInArrow(gather, "phrase binary, least long, most long").groupBy("phrase").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    met = cut(met.where("least < most").drop("most"), "frequent")
+    parts = max(1, math.ceil(met.count() / PHRASES))
+    out = None
+    for part in range(parts):
+        # About PHRASES of them at most: one automaton.
+        rows = met.where(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part).collect()
+        phrases = own.sparkSession.sparkContext.broadcast([(bytes(r["phrase"]), r["least"]) for r in rows])
+
+        def stream(batches, phrases=phrases):
+            numbers: dict[bytes, int] = {}
+            automaton = _compile([[numbers.setdefault(w, len(numbers) + 1) for w in words.split()], i] for i, (words, _) in enumerate(phrases.value))
+            first = np.array([d for _, d in phrases.value], np.int64)
+            for doc, key, at, _, lo, hi, data in _runs(batches, repeats.value, n, True):
+                raw = data.tobytes()
+                ids = [[numbers.get(w, 0) for w in raw[a:b].split()] for a, b in zip(lo.tolist(), hi.tolist())]
+                piece, word, phrase = _occurrences(automaton, ids, n)
+                late = doc[piece] > first[phrase]
+                row, a, b = merge_spans(piece[late], at[piece[late]] + word[late], at[piece[late]] + word[late] + n)
+                yield _span_batch(doc[row], key[row], a, b)
+
+        if rows:
+            some = own.mapInArrow(stream, _SPAN)
+            out = some if out is None else out.unionAll(some)
+    return out if out is not None else own.sparkSession.createDataFrame([], _SPAN)
+
+
+_SPAN = "doc_id long, rk long, lo long, hi long"
+
+
+def _span_batch(doc, rk, lo, hi) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, rk, lo, hi)], names=["doc_id", "rk", "lo", "hi"])
 
 
 #: Bytes of spans up to which they are broadcast to the texts; more of them meet the texts in a shuffle.
-BROADCAST_SPANS = 32 << 20
+BROADCAST_SPANS = BROADCAST_BYTES
 
 
 def with_spans(source: DataFrame, spans: DataFrame) -> DataFrame:
     """source with spans array<struct<lo,hi>>, null where there are none."""
-    grouped = cut(spans.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    grouped = cut(spans.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
     rows, total = grouped.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    if 64 * rows + 16 * total <= BROADCAST_SPANS:
+    if 160 * rows + 40 * total <= BROADCAST_SPANS:
         grouped = F.broadcast(grouped)
     return source.join(grouped, ["doc_id", "rk"], "left")
 
@@ -235,6 +289,8 @@ def remove_phrases(docs: DataFrame, n: int = 13, keep_text: bool = False) -> Dat
             for low, high, data, offsets in text_blocks(batch.column("text")):
                 starts, ends, first = word_spans(data, offsets, NON_SPACE)
                 row, lo, hi = span_arrays(spans.slice(low, high - low))
+                count = np.diff(first)[row]
+                hi = np.where(hi == WHOLE, np.where(count >= n, count, 0), hi)
                 gone = covered(lo + first[row], hi + first[row], len(starts))
                 flat, a, b = kept_words(data, starts, ends, first, ~gone, offsets)
                 view = memoryview(flat)
