@@ -1,27 +1,30 @@
 """Substring removal by suffix arrays of shards.
 
 Every window of L bytes has one anchor, the least of its GRAM-byte hashes
-(winnowing), so equal windows have equal anchors. A first pass finds which
-anchors are repeated at all. A second sends the surroundings of those to the
-shard of the anchor, equal surroundings of a block of texts only once. A shard
-sorts its suffixes by Larsson-Sadakane refinement (groups are split by the rank
-of what follows, to double the depth each round), takes the common prefixes of
-neighbours in Kasai's order, and so finds every window that stands at two
-places or more. An anchor too frequent for one shard is dealt to several; their
-sorted windows are merged by binary search.
+(winnowing), so equal windows have equal anchors. Equal texts are one from the
+start. A first pass finds which anchors are repeated at all. A second sends the
+surroundings of those to the shard of the anchor, equal surroundings of a block
+of texts only once. A shard sorts its suffixes by Larsson-Sadakane refinement
+(groups are split by the rank of what follows, to double the depth each round),
+takes the common prefixes of neighbours in Kasai's order, and so finds every
+window that stands at two places or more. An anchor too frequent for one shard
+is dealt to several; the sorted windows that are left open there are merged,
+byte by byte, by binary search.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import NULL_ID, binary_array, byte_gram_hashes, covered, merge_spans, ranges, span_hashes, text_blocks, window_rows, winnow
-from .phrases import _span_batch, keyed, span_arrays, with_spans
+from .copies import KEY, collapse, keyed, small
+from .kernels import NULL_ID, binary_array, byte_gram_hashes, covered, merge_spans, ranges, text_blocks, window_rows, winnow
+from .phrases import _SPAN, span_arrays, with_spans
 from .repeats import find_repeats
 from .store import cut, given_id, shards
 
@@ -32,6 +35,8 @@ ROWS_PER_ANCHOR = 4096
 SHARD_BYTES = 1 << 20
 #: Positions that are gone through one after another; more lanes of them go in step.
 LANE = 128
+#: Windows of a dealt-out anchor in one batch.
+ASKED = 4096
 _BYTES = np.array([1 << (8 * i) for i in range(8)], np.uint64)
 
 
@@ -204,34 +209,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, repeats):
 _TRIPLE = 3
 
 
-def _text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return span_hashes(data, offsets[:-1], offsets[1:])
-
-
-def _copies(repeats, wanted: bool):
-    """Keeps rows whose text may stand elsewhere too, or the others."""
-
-    def run(batches):
-        for batch in batches:
-            for low, high, data, offsets in text_blocks(batch.column("text")):
-                at = np.flatnonzero(repeats.value.has(_text_hashes(data, offsets)) == wanted)
-                if len(at):
-                    yield batch.take(pa.array(at + low)).select(["doc_id", "rk", "text"])
-
-    return run
-
-
 def find_spans(source: DataFrame, length: int) -> DataFrame:
-    """doc_id, rk, lo, hi: byte ranges to remove; they can overlap. source: doc_id, rk, text."""
+    """doc_id, rk, lo, hi: byte ranges to remove; they can overlap. source: as of keyed()."""
     spark = source.sparkSession
-    repeats = spark.sparkContext.broadcast(find_repeats(source, lambda d, o: fingerprints(d, o, length), 2 / (_inner(length) + 1), ROWS_PER_ANCHOR))
+    source = source.where(F.octet_length("text") >= length)
     # Equal texts: one of them goes on, all of them go whole.
-    copies = spark.sparkContext.broadcast(find_repeats(source, _text_hashes, 1 / 1000))
-    same = cut(source.where(F.octet_length("text") >= length).mapInArrow(_copies(copies, True), "doc_id long, rk long, text string"), "copies")
-    several = same.groupBy("rk", F.octet_length("text").alias("hi")).agg(F.count("*").alias("n")).where("n > 1").select("rk", F.col("hi").cast("long").alias("hi"))
-    wholly = same.select("doc_id", "rk").join(several, "rk").select("doc_id", "rk", F.lit(0).cast("long").alias("lo"), "hi")
-    one = same.dropDuplicates(["rk", "text"])
-    rest = source.where(F.octet_length("text") >= length).mapInArrow(_copies(copies, False), "doc_id long, rk long, text string")
+    own, several = collapse(source)
+    repeats = spark.sparkContext.broadcast(find_repeats(own, lambda d, o: fingerprints(d, o, length), 2 / (_inner(length) + 1), ROWS_PER_ANCHOR))
+    wholly = source.join(small(several), KEY).select("doc_id", "rk", F.lit(0).cast("long").alias("lo"), F.octet_length("text").cast("long").alias("hi"))
 
     def send(batches):
         found = repeats.value
@@ -243,7 +228,8 @@ def find_spans(source: DataFrame, length: int) -> DataFrame:
                     continue
                 deal = found.hot_count(h) // ROWS_PER_ANCHOR + 1
                 doc = docs[low:high][row]
-                salt = np.where(deal > 1, ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % deal, -1)
+                own_key = (doc ^ keys[low:high][row]).astype(np.uint64)
+                salt = np.where(deal > 1, ((own_key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % deal, -1)
                 raw, groups = data.tobytes(), {}
                 place = at - offsets[:-1][row]
                 for i, (a, n, x, s) in enumerate(zip(at.tolist(), (count + length - 1).tolist(), h.tolist(), salt.tolist())):
@@ -257,8 +243,7 @@ def find_spans(source: DataFrame, length: int) -> DataFrame:
                 )
 
     ddl = "anchor long, salt int, around binary, places binary"
-    sent = rest.mapInArrow(send, ddl).unionAll(one.mapInArrow(send, ddl))
-    dealt = sent.repartition(shards(source, 8, 16), "anchor", "salt").sortWithinPartitions("anchor", "salt")
+    dealt = own.mapInArrow(send, ddl).repartition(shards(source, 8, 16), "anchor", "salt").sortWithinPartitions("anchor", "salt")
 
     def search(batches):
         rows, size, last = [], 0, None
@@ -274,14 +259,21 @@ def find_spans(source: DataFrame, length: int) -> DataFrame:
         if rows:
             yield from _search_shard(rows, length)
 
-    found = cut(dealt.mapInArrow(search, "doc_id long, rk long, lo long, hi long, phrase long"), "suffix")
-    asked = found.where("phrase <> 0").repartition(shards(source, 8, 16), "phrase")
-    return wholly.unionAll(found.where("phrase = 0").drop("phrase")).unionAll(asked.mapInArrow(_merge_shards, "doc_id long, rk long, lo long, hi long"))
+    found = cut(dealt.mapInArrow(search, f"{_SPAN}, window binary"), "suffix")
+    sure = found.where("window is null").drop("window")
+    # Windows in byte order: a range of that order for each task, which Spark sorts and can spill.
+    asked = found.where("window is not null").repartition(shards(source, 8, 16), "window").sortWithinPartitions("window")
+    return wholly.unionAll(sure).unionAll(asked.mapInArrow(_merge_shards, _SPAN))
+
+
+def _spans(doc, rk, lo, hi, window=None) -> pa.RecordBatch:
+    arrays = [pa.array(x.astype(np.int64)) for x in (doc, rk, lo, hi)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(doc), pa.binary()) if window is None else window], names=["doc_id", "rk", "lo", "hi", "window"])
 
 
 def _search_shard(rows: list, length: int):
-    """Removed ranges of a shard's rows (phrase 0), and of dealt-out anchors what the other shards
-    must be asked about: a window that stands alone here, or one of each repeated class."""
+    """Removed ranges of a shard's rows, and of dealt-out anchors the windows that the other shards
+    must be asked about: those that stand alone here, and one of each repeated class."""
     distinct: dict[tuple, list[bytes]] = {}
     for anchor, salt, around, places in rows:
         distinct.setdefault((anchor, salt, around), []).append(places)
@@ -303,34 +295,47 @@ def _search_shard(rows: list, length: int):
     run = np.repeat(np.arange(len(r)), copies[r])
     if len(run):
         doc, rk, place = triples[each].T
-        yield _span_batch(doc, rk, place + a[run], place + b[run], np.zeros(len(run), np.int64))
+        yield _spans(doc, rk, place + a[run], place + b[run])
     salt = np.array([k[1] for k in distinct])
     ask = (salt[row] >= 0) & (~many | np.r_[True, number[1:] != number[:-1]])
     w = np.flatnonzero(ask)
-    if len(w):
-        h = byte_gram_hashes(text, length)[order[w]].view(np.int64) | 1
+    for w in np.array_split(w, -(-len(w) // ASKED) or 1):
+        window = binary_array(text[ranges(order[w], np.full(len(w), length))], np.arange(len(w) + 1) * length)
         doc, rk, place = triples[first[row[w]]].T
         lo = place + order[w] - begin[row[w]]
         # A class that is repeated already only tells the others: it is marked by an empty range.
-        yield _span_batch(doc, rk, lo, np.where(many[w], lo, lo + length), h)
+        yield _spans(doc, rk, lo, np.where(many[w], lo, lo + length), window)
 
 
 def _merge_shards(batches):
     """Windows that stood alone in their shard and that another shard has too.
 
-    The hashes of a share are sorted once; binary search gives each window the
-    range of its equals.
+    The windows of a share come in byte order; binary search gives each one the
+    range of its equals. A range that a batch does not end is kept for the next.
     """
-    parts = [pa.Table.from_batches([b]) for b in batches]
-    if not parts:
-        return
-    table = pa.concat_tables(parts)
-    h = table.column("phrase").to_numpy()
-    keys = np.sort(h)
-    several = np.searchsorted(keys, h, "right") - np.searchsorted(keys, h, "left") > 1
+    kept = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if kept is not None:
+            table = pa.concat_tables([kept, table]).combine_chunks()
+        keys = table.column("window").to_pylist()
+        # The last range is open: two rows of it are enough for the rows that are still to come.
+        open_from = bisect_left(keys, keys[-1])
+        yield from _repeated(table, keys, open_from)
+        tail = table.slice(open_from)
+        if tail.num_rows > 1:
+            yield from _repeated(tail, keys[open_from:], tail.num_rows)
+            # All its rows are told of already; an empty range of it says so to the next batch.
+            tail = tail.slice(0, 2).set_column(tail.column_names.index("hi"), "hi", tail.column("lo").slice(0, 2))
+        kept = tail
+
+
+def _repeated(table: pa.Table, keys: list[bytes], end: int):
+    equal = [bisect_right(keys, k) - bisect_left(keys, k) > 1 for k in keys[:end]]
     lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
-    at = pa.array(np.flatnonzero(several & (hi > lo)))
-    yield from table.select(["doc_id", "rk", "lo", "hi"]).take(at).combine_chunks().to_batches()
+    at = np.flatnonzero(np.array(equal, bool) & (hi[:end] > lo[:end]))
+    if len(at):
+        yield from table.select(["doc_id", "rk", "lo", "hi"]).take(pa.array(at)).combine_chunks().to_batches()
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, carry: list[str] | None = None) -> DataFrame:
