@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import ranges, span_hashes, text_blocks
+from .kernels import ranges, released, span_hashes, text_blocks
 from .merging import PairTable, merge_all
 from .store import given_id, texts
 
@@ -311,6 +311,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
         ddl += ", ids array<int>, piece_offsets array<int>"
     schema = pa.schema(fields)
 
+    @released
     def run(batches):
         coder = byte_bpe(path)
         for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, LOWER, covered, gram_hashes, merge_spans, ranges, span_hashes, text_blocks, window_rows, winnow, word_spans
+from .kernels import ALNUM, LOWER, covered, gram_hashes, merge_spans, ranges, released, span_hashes, text_blocks, window_rows, winnow, word_spans
 from .store import given_id, texts
 
 #: Bytes of benchmark text up to which its index is broadcast; beyond, fingerprints are joined by a shuffle.
@@ -164,6 +164,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_
     index = docs.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in items.collect()], n))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 
+    @released
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
@@ -182,6 +183,7 @@ def _decontaminate_large(docs: DataFrame, items: DataFrame, n: int) -> DataFrame
     short = [r[0] for r in items.mapInArrow(_word_count, "n long").where(f"n > 0 and n < {n}").distinct().collect()]
 
     def prints(keys: list[str], whole: bool):
+        @released
         def run(batches):
             for batch in batches:
                 for low, high, data, offsets in text_blocks(batch.column("text")):
@@ -210,6 +212,7 @@ def _decontaminate_large(docs: DataFrame, items: DataFrame, n: int) -> DataFrame
     joined = pairs.join(own.dropDuplicates(["doc_id", "rk"]), ["doc_id", "rk"]).join(items.withColumnRenamed("text", "item"), "item_id")
     span_type = "array<struct<lo:long,hi:long>>"
 
+    @released
     def extend(batches):
         for batch in batches:
             rows = []
@@ -225,6 +228,7 @@ def _decontaminate_large(docs: DataFrame, items: DataFrame, n: int) -> DataFrame
     hits = joined.mapInArrow(extend, f"doc_id long, rk long, item string, spans {span_type}")
     found = hits.groupBy("doc_id", "rk").agg(F.array_sort(F.collect_set("item")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
 
+    @released
     def total(batches):
         for batch in batches:
             counts = []

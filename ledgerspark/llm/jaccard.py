@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .copies import collapse, keyed
-from .kernels import LOWER, NON_SPACE, gram_hashes, span_hashes, text_blocks, window_rows, word_spans
+from .kernels import LOWER, NON_SPACE, gram_hashes, released, span_hashes, text_blocks, window_rows, word_spans
 from .repeats import Repeats, find_repeats
 from .store import cut, given_id, shards
 from .tries import link
@@ -81,6 +81,7 @@ def _search(rows: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataF
     rows = rows.join(sets.select("node", "size", "tokens"), "node").select(*_ROW)
     rows = rows.repartition(parts, "share", "salt", "other").sortWithinPartitions("share", "salt", "other", "kind")
 
+    @released
     def run(batches):
         key, stored, probes, size = None, [], [], 0
 
@@ -128,6 +129,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     repeats = source.sparkSession.sparkContext.broadcast(find_repeats(collapse(source)[0], fingerprints, 1 / 6.5))
     schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.binary()), ("prefix", pa.list_(pa.int64())), ("tokens", pa.binary())])
 
+    @released
     def build(batches):
         found, given = repeats.value, set()
         for batch in batches:

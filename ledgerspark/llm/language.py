@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import text_blocks
+from .kernels import released, text_blocks
 from .store import given_id, texts
 
 UNKNOWN = "und"
@@ -62,6 +62,7 @@ def learn(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> tuple[list
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / sizes[k]))])
     sample = rows.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(_STEP)) < share[F.col("lang")] * _STEP).select("lang", "text")
 
+    @released
     def count(batches):
         for batch in batches:
             lang = batch.column("lang").cast(pa.string())
@@ -160,6 +161,7 @@ def identify(docs: DataFrame, model, keep: bool = False) -> DataFrame:
     added = "lang_pred string, score double, background double, languages string"
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields) if keep else "doc_id long"
 
+    @released
     def run(batches):
         table, prior = shared.value
         names = np.array([*languages, UNKNOWN], object)

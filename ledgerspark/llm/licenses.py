@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, LOWER, span_hashes, text_blocks, word_spans
+from .kernels import ALNUM, LOWER, released, span_hashes, text_blocks, word_spans
 from .store import given_id, texts
 
 # Phrases and their labels.
@@ -137,6 +137,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     source = texts(docs)
     known = Templates(templates, threshold, {}).vocabulary
 
+    @released
     def count(batches):
         total = np.zeros(len(known), np.int64)
         for batch in batches:
@@ -152,6 +153,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     phrases = [(_hash(p.split()), label) for p, label in BASE.items()]
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
+    @released
     def scan(batches):
         for batch in batches:
             ids = batch.column("doc_id")

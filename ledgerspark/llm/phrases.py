@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .copies import BROADCAST_BYTES, KEY, collapse, keyed, small
-from .kernels import NON_SPACE, binary_array, covered, gram_hashes, merge_spans, mix, ranges, span_hashes, text_blocks, window_rows, winnow, word_spans
+from .kernels import NON_SPACE, binary_array, covered, gram_hashes, merge_spans, mix, ranges, released, span_hashes, text_blocks, window_rows, winnow, word_spans
 from .repeats import find_repeats
 from .store import cut, given_id, shards
 
@@ -146,6 +146,7 @@ def find_spans(source: DataFrame, n: int) -> DataFrame:
     frequent = len(repeats.hot) > 0
     repeats = spark.sparkContext.broadcast(repeats)
 
+    @released
     def send(batches):
         for doc, key, at, h, lo, hi, data in _runs(batches, repeats.value, n, False):
             around = binary_array(data[ranges(lo, hi - lo)], np.concatenate(([0], np.cumsum(hi - lo))))
@@ -158,6 +159,7 @@ def find_spans(source: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             yield from (batch.slice(low, CHUNK_ROWS) for low in range(0, batch.num_rows, CHUNK_ROWS))
 
+    @released
     def locate(batches):
         parts = chunks(batches)
         now, anchor, earlier = next(parts, None), None, {}
@@ -190,6 +192,7 @@ def find_spans(source: DataFrame, n: int) -> DataFrame:
 def _frequent(own: DataFrame, repeats, n: int) -> DataFrame:
     """Spans of phrases with frequent anchors."""
 
+    @released
     def gather(batches):
         for doc, _, _, _, lo, hi, data in _runs(batches, repeats.value, n, True):
             raw = data.tobytes()
@@ -205,6 +208,7 @@ def _frequent(own: DataFrame, repeats, n: int) -> DataFrame:
         rows = met.where(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part).collect()
         phrases = own.sparkSession.sparkContext.broadcast([(bytes(r["phrase"]), r["least"]) for r in rows])
 
+        @released
         def stream(batches, phrases=phrases):
             numbers: dict[bytes, int] = {}
             automaton = _compile([[numbers.setdefault(w, len(numbers) + 1) for w in words.split()], i] for i, (words, _) in enumerate(phrases.value))
@@ -283,6 +287,7 @@ def remove_phrases(docs: DataFrame, n: int = 13, keep_text: bool = False) -> Dat
         fields.append(("kept_text", pa.string()))
     schema = pa.schema(fields)
 
+    @released
     def finish(batches):
         for batch in batches:
             ids, spans = batch.column("doc_id"), batch.column("spans")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import text_blocks
+from .kernels import released, text_blocks
 from .store import input_bytes, shards
 
 #: Bits of the bitmap at most: 32 MB.
@@ -81,6 +81,7 @@ def find_repeats(source: DataFrame, fingerprints: Callable, density: float, hot_
         cut = [(int(part[a]), np.diff(values[a:b], prepend=dtype(0)).tobytes(), np.minimum(counts[a:b], 65535).astype(np.uint16).tobytes()) for a, b in rows]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cut), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "vals", "counts"])
 
+    @released
     def send(batches):
         parts, size = [], 0
         for batch in batches:

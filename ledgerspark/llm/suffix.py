@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .copies import KEY, collapse, keyed, small
-from .kernels import NULL_ID, binary_array, byte_gram_hashes, covered, merge_spans, ranges, text_blocks, window_rows, winnow
+from .kernels import NULL_ID, binary_array, byte_gram_hashes, covered, merge_spans, ranges, released, text_blocks, window_rows, winnow
 from .phrases import _SPAN, span_arrays, with_spans
 from .repeats import find_repeats
 from .store import cut, given_id, shards
@@ -218,6 +218,7 @@ def find_spans(source: DataFrame, length: int) -> DataFrame:
     repeats = spark.sparkContext.broadcast(find_repeats(own, lambda d, o: fingerprints(d, o, length), 2 / (_inner(length) + 1), ROWS_PER_ANCHOR))
     wholly = source.join(small(several), KEY).select("doc_id", "rk", F.lit(0).cast("long").alias("lo"), F.octet_length("text").cast("long").alias("hi"))
 
+    @released
     def send(batches):
         found = repeats.value
         for batch in batches:
@@ -245,6 +246,7 @@ def find_spans(source: DataFrame, length: int) -> DataFrame:
     ddl = "anchor long, salt int, around binary, places binary"
     dealt = own.mapInArrow(send, ddl).repartition(shards(source, 8, 16), "anchor", "salt").sortWithinPartitions("anchor", "salt")
 
+    @released
     def search(batches):
         rows, size, last = [], 0, None
         for batch in batches:
@@ -359,6 +361,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, carry: list[str] | None =
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields)
 
+    @released
     def finish(batches):
         for batch in batches:
             ids, spans = batch.column("doc_id"), batch.column("spans")

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .kernels import text_blocks
+from .kernels import released, text_blocks
 from .merging import PairTable, merge_all
 from .store import given_id, texts
 
@@ -113,6 +113,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
+    @released
     def run(batches):
         model = word_bpe(path)
         for batch in batches:

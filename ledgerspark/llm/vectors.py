@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import NULL_ID
+from .kernels import NULL_ID, released
 from .store import cut
 
 #: Nodes of a shard on average, before overlap; centres at most (they are broadcast, as is the sample for them).
@@ -242,6 +242,7 @@ def _assign(nodes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
     """shard, id, vec: each node in the shards of its nearest centres."""
     shared = nodes.sparkSession.sparkContext.broadcast(centres)
 
+    @released
     def run(batches):
         c = shared.value
         take = min(overlap, len(c))
@@ -297,6 +298,7 @@ def audit_links(nodes: DataFrame, links: DataFrame, threshold: float, queries: i
     ids, x = rows.column("id").to_numpy(), _unit(rows.column("vec")) if rows.num_rows else np.zeros((0, 1))
     shared = nodes.sparkSession.sparkContext.broadcast((ids, x))
 
+    @released
     def scan(batches):
         ids, x = shared.value
         for whole in batches:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernels import released
+
 VERSION = b"WARC/1.1"
 LEAST_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -205,6 +207,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     def number(text):
         return int(text) if text and re.fullmatch(r"-?\d+", text) else None
 
+    @released
     def parse(batches):
         for batch in batches:
             for file, data in zip(batch.column("path").to_pylist(), batch.column("content")):
