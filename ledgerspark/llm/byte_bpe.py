@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import ranges, released, span_hashes, text_blocks
+from .kernels import kept_by_worker, ranges, released, span_hashes, text_blocks
 from .merging import PairTable, merge_all
 from .store import given_id, texts
 
@@ -289,7 +289,7 @@ class ByteBPE:
         return self.vocabulary.take(np.asarray(ids, np.int64))[0].tobytes()
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker
 def byte_bpe(path: str) -> ByteBPE:
     """One for each Python worker, which keeps its cache from task to task."""
     return ByteBPE(path)

@@ -37,12 +37,25 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+_worker_caches: list = []
+
+
+def kept_by_worker(make):
+    """make() with its results kept from task to task, until the worker runs another module's tasks."""
+    cached = functools.lru_cache(maxsize=2)(make)
+    _worker_caches.append((make.__module__, cached))
+    return cached
+
+
 def released(run):
     """A function of Arrow batches that gives the worker's free memory back when its task ends: workers
     are kept, and what one holds for nothing its executor lacks."""
 
     @functools.wraps(run)
     def inner(batches):
+        for module, cached in _worker_caches:
+            if module != run.__module__:
+                cached.cache_clear()
         try:
             yield from run(batches)
         finally:

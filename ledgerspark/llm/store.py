@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import tempfile
 import uuid
 
@@ -13,15 +14,22 @@ from pyspark.sql import functions as F
 from .kernels import NULL_ID
 
 _DIR = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch that a worker gets, unless the session names a limit: texts are long, and the
+#: usual 10,000 of them would stand in the executor and in the worker at once.
+BATCH_BYTES = 4 << 20
 _kept: dict[str, SparkSession] = {}
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is named."""
+    """The folder that all executors share. Only a session of one machine may name none: it gets its own."""
     found = spark.conf.get(_DIR, None) or spark.sparkContext.getConf().get(_DIR, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ledgerspark-")
-        spark.conf.set(_DIR, found)
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set {_DIR} to a folder that all executors of {master} share")
+        found = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="ledgerspark-"))
     return found.rstrip("/")
 
 
@@ -83,6 +91,8 @@ def shards(df: DataFrame, mb: float = 16, least: int = 16, most: int = 1 << 16)
 
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id long (NULL_ID for null) and text string: all that text operators read."""
+    if docs.sparkSession.conf.get(_BATCH, None) is None:
+        docs.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .kernels import released, text_blocks
+from .kernels import kept_by_worker, released, text_blocks
 from .merging import PairTable, merge_all
 from .store import given_id, texts
 
@@ -98,7 +97,7 @@ class WordBPE:
         return [extra + sum(map(get, found)) for extra, found in zip(out, lists)]
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker
 def word_bpe(path: str) -> WordBPE:
     """One for each Python worker, which keeps its cache from task to task."""
     return WordBPE(path)
