@@ -32,7 +32,7 @@ GRAM = 64
 #: Surroundings of an anchor that one shard takes; a more frequent anchor is dealt to several.
 ROWS_PER_ANCHOR = 4096
 #: Bytes of surroundings whose suffixes are sorted together.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Positions that are gone through one after another; more lanes of them go in step.
 LANE = 128
 #: Windows of a dealt-out anchor in one batch.
