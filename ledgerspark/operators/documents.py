@@ -74,7 +74,9 @@ def bm25(parts: DataFrame, query: str, corpus: list[str], key: list[str], text:
     marks = [f"df{i}" for i in range(len(terms))]
     grand = rows.groupBy(*corpus).agg(F.count("*").alias("__n"), F.avg("__length").alias("__avg"), *[F.count_if(F.col("__tf")[i] > 0).alias(m) for i, m in enumerate(marks)])
     hit = rows.where(F.exists("__tf", lambda x: x > 0))
-    found = hit.join(grand, corpus) if corpus else hit.crossJoin(F.broadcast(grand))  # one row of totals
+    same = [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in corpus]  # a null corpus is a corpus
+    grand = grand.withColumnsRenamed({c: f"__{c}" for c in corpus})
+    found = hit.join(grand, same).drop(*[f"__{c}" for c in corpus]) if corpus else hit.crossJoin(F.broadcast(grand))  # one row of totals
     score = F.lit(0.0)
     for i, (term, mark) in enumerate(zip(terms, marks)):
         idf = F.log(1 + (F.col("__n") - F.col(mark) + 0.5) / (F.col(mark) + 0.5))

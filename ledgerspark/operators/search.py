@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Legal forms that a name may end in.
-LEGAL_SUFFIXES = ("plc", "ltd", "limited", "inc", "corp", "corporation", "company", "co", "ag", "sa", "nv", "se", "spa", "ab", "asa", "oyj", "as", "kk")
+from ..functions.folds import KINDS, fold
+
+# Legal forms that a name may end in, in the order in which one is looked for.
+LEGAL_SUFFIXES = ("public limited company", "limited", "ltd", "plc")
 
 
 def folded(column: Column) -> Column:
@@ -17,12 +19,13 @@ def folded(column: Column) -> Column:
 
 
 def three_tiers(companies: DataFrame, query: str, fields: Sequence[str], tie: str, limit: int | None = None) -> DataFrame:
-    """0 if any field equals the query, 1 if one begins with it, 2 if one contains it."""
-    q, own = F.lit(query.lower()), [F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields]
-    values = F.array(*own)
+    """0 if any field equals the query, 1 if one begins with it, 2 if one contains it; accents,
+    case and punctuation do not matter."""
+    q = F.lit(KINDS["match"](query))
+    values = F.array(*[fold(F.coalesce(F.col(f).cast("string"), F.lit("")), "match") for f in fields])
     rank = F.when(F.exists(values, lambda x: x == q), 0).when(F.exists(values, lambda x: F.startswith(x, q)), 1).when(F.exists(values, lambda x: F.contains(x, q)), 2)
-    found = companies.withColumn("match_rank", rank).where(F.col("match_rank").isNotNull() & F.lit(bool(query.strip())))
-    return found.orderBy("match_rank", F.lower(F.col(tie))).limit(max(1, limit)) if limit is not None else found
+    found = companies.withColumn("match_rank", rank).where(F.col("match_rank").isNotNull() & F.lit(bool(KINDS["match"](query))))
+    return found.orderBy("match_rank", fold(F.col(tie), "match")).limit(max(1, limit)) if limit is not None else found
 
 
 def id_or_name(companies: DataFrame, query: str, ids: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -61,13 +64,25 @@ def filter_companies(companies: DataFrame, market: str | None = None, country_co
 
 def merge_companies(companies: DataFrame, suffixes: Sequence[str] = LEGAL_SUFFIXES) -> DataFrame:
     """Records of one market and name (without one legal form) become one: the first by seq,
-    with the sources of all in order, and the first lei that is known."""
-    name = F.regexp_replace(folded(F.col("name")), rf" (?:{'|'.join(suffixes)})$", "")
-    keyed = companies.withColumn("merge_key", F.concat_ws(":", "market", name))
-    order = Window.partitionBy("merge_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    merged = keyed.withColumn("sources", F.array_distinct(F.flatten(F.collect_list("sources").over(order)))).withColumn("lei", F.first("lei", ignorenulls=True).over(order)).withColumn("records", F.count("*").over(order))
-    first = Window.partitionBy("merge_key").orderBy("seq")
-    return merged.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
+    with the sources of all in order, and the first lei that is known.
+
+    Names of Japan are compared by their letters and digits of any script, others
+    by those of ASCII. A record whose name has none of them stays by itself.
+    """
+    plain = folded(F.col("name"))
+    name = F.coalesce(*[F.nullif(F.regexp_extract(plain, f"^(.*) {s}$", 1), F.lit("")) for s in suffixes], plain)
+    name = F.when(F.upper("market") == "JP", F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", "")).otherwise(name)
+    alone = F.when(F.coalesce(name, F.lit("")) == "", F.col("seq").cast("string"))
+    keyed = companies.withColumn("merge_key", F.concat_ws(":", F.lower("market"), name)).withColumn("__alone", alone)
+    # One sorted array for each key of what the merged record needs, not a window over whole rows.
+    rest = F.struct("seq", *[c for c in companies.columns if c not in ("seq", "sources", "lei")])
+    met = keyed.groupBy("merge_key", "__alone").agg(
+        F.count("*").alias("records"), F.min_by(rest, "seq").alias("first"), F.min_by("lei", F.when(F.col("lei").isNotNull(), F.col("seq"))).alias("lei"),
+        F.array_sort(F.collect_set(F.struct("seq", "sources"))).alias("all"),
+    )
+    sources = F.array_distinct(F.flatten(F.transform("all", lambda x: x["sources"])))
+    columns = [sources.alias(c) if c == "sources" else F.col(c) if c == "lei" else F.col("first")[c].alias(c) for c in companies.columns]
+    return met.select(*columns, "merge_key", "records")
 
 
 # Beginnings of company ids and their sources.

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import KINDS
+
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -57,14 +59,15 @@ def watchlist(filings: DataFrame, since: str, companies: Sequence | None = None,
 
 def greedy_filings(filings: DataFrame, landing_urls: Sequence[str] = ()) -> DataFrame:
     """Within a company, in order of seq, a filing goes if its url or its (date, title) was
-    kept before. A known landing page is no url of a filing. Sequential by nature: one reducer
-    for each company."""
-    landing = set(landing_urls)
+    kept before; case of urls, and case and punctuation of titles, do not matter. A known landing
+    page is no url of a filing. Sequential by nature: one reducer for each company."""
+    landing, plain = {u.casefold() for u in landing_urls}, KINDS["merge"]
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         urls, titles, keep = set(), set(), []
         for url, date, title in pdf.sort_values("seq")[["source_url", "filing_date", "title"]].itertuples(index=False):
-            address = url if isinstance(url, str) and url not in landing else None
+            address = url.casefold() if isinstance(url, str) and url.casefold() not in landing else None
+            title = plain(title) if isinstance(title, str) else title
             fresh = (address is None or address not in urls) and (date, title) not in titles
             keep.append(fresh)
             if fresh:
@@ -76,27 +79,35 @@ def greedy_filings(filings: DataFrame, landing_urls: Sequence[str] = ()) -> Data
     return filings.groupBy("company_id").applyInPandas(reduce, filings.schema)
 
 
-FACT_KEY = ["company_id", "statement_type", "code", "start_date", "end_date", "kind"]
+FACT_KEY = ["company_id", "statement_type", "code", "start_date", "end_date", "kind", "dimensions"]
 
 
 def fact_history(facts: DataFrame, view: str = "latest_restated", codes: Sequence[str] | None = None, as_of: str | None = None, limit: int | None = None, compat: bool = False, ties: Sequence[str] = ("seq",), keys: Sequence[str] = tuple(FACT_KEY)) -> DataFrame:
     """Values as reported, or of each fact the latest that was known.
 
-    as_of cuts whatever the view. The limit comes last, unless compat asks for
-    the old order (limit first, then codes and choice).
+    A segment's value is another fact than the total (dimensions, where the facts
+    have them; null is none). as_of cuts what is chosen from, so as_reported has
+    no use for it; the view as_of needs it. The limit comes last, unless compat
+    asks for the old order (limit first, then codes and choice).
     """
     if view not in ("as_reported", "latest_restated", "as_of"):
         raise ValueError(f"unknown view {view}")
+    if view == "as_of" and as_of is None:
+        raise ValueError("the view as_of needs a date")
     order = [F.col("reported_at").desc(), F.col("filing_id").desc(), *(F.col(t).asc() for t in ties)]
     out = facts
-    if as_of is not None:
-        out = out.where(F.col("reported_at") <= F.lit(as_of).cast("date"))
+    if as_of is not None and view != "as_reported":
+        out = out.where(F.to_date("reported_at") <= F.lit(as_of).cast("date"))
     if compat and limit is not None:
         out = out.orderBy(*order).limit(limit)
     if codes is not None:
         out = out.where(F.col("code").isin(list(codes)))
     if view != "as_reported":
-        out = top_per_group(out, keys, order)
+        own = [k for k in keys if k != "dimensions" or k in out.columns]
+        if "dimensions" in own:
+            own[own.index("dimensions")] = "__dimensions"
+            out = out.withColumn("__dimensions", F.when(F.size("dimensions") > 0, F.col("dimensions")))
+        out = top_per_group(out, own, order).drop("__dimensions")
     if limit is not None and not compat:
         out = out.orderBy(*order).limit(limit)
     return out
@@ -139,10 +150,22 @@ def most_precise(facts: DataFrame) -> DataFrame:
     return top_per_group(own, ["filing_id", "code", "concept", "start_date", "end_date", "dimensions", "unit"], [precision_rank().desc(), F.col("seq").asc()])
 
 
-def merge_company_facts(facts: DataFrame, periods: int, ties: Sequence[str] = ("seq",)) -> DataFrame:
-    """From a company's newest filings that have values, the newest value of each item and period."""
+def scan_limit(periods: int) -> int:
+    """How many of a company's filings are looked through for so many that have values."""
+    return min(max(periods * 5, 10), 50)
+
+
+def merge_company_facts(facts: DataFrame, periods: int, ties: Sequence[str] = ("seq",), filings: DataFrame | None = None, category: str | None = "accounts", period: str = "end_date") -> DataFrame:
+    """From a company's newest filings that have values, the newest value of each item and period.
+
+    With filings only the newest ones of the category count, as many as
+    scan_limit allows. period: the column that names a period.
+    """
+    if filings is not None:
+        scanned = newest_filings(filter_filings(filings, category=category), scan_limit(periods))
+        facts = facts.join(scanned.select("company_id", F.col("id").alias("filing_id")), ["company_id", "filing_id"], "left_semi")
     recency = F.dense_rank().over(Window.partitionBy("company_id").orderBy(F.col("reported_at").desc(), F.col("filing_id").desc()))
-    return top_per_group(facts.withColumn("__filing", recency).where(F.col("__filing") <= periods), ["company_id", "statement_type", "code", "end_date"], [F.col("__filing").asc(), *(F.col(t) for t in ties)]).drop("__filing")
+    return top_per_group(facts.withColumn("__filing", recency).where(F.col("__filing") <= periods), ["company_id", "statement_type", "code", period], [F.col("__filing").asc(), *(F.col(t) for t in ties)]).drop("__filing")
 
 
 def compare_companies(facts: DataFrame, companies: Sequence, code: str, newest: int = 4, ties: Sequence[str] = ("seq",)) -> DataFrame:

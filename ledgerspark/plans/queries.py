@@ -51,7 +51,7 @@ def historical_as_of(spark, d):
 
 @query(f"with {FACTS} select {OUT} from facts where code in ('AF', 'NO') and reported_at <= date '1999-12-31'")
 def historical_as_reported(spark, d):
-    return windows.fact_history(facts(spark, d), "as_reported", codes=["AF", "NO"], as_of="1999-12-31", ties=FACT_TIES).select(FACT_OUT)
+    return windows.fact_history(facts(spark, d).where("reported_at <= date'1999-12-31'"), "as_reported", codes=["AF", "NO"], ties=FACT_TIES).select(FACT_OUT)
 
 
 @query(f"with {FACTS} select {OUT} from (select *, row_number() over (partition by company_id, statement_type, code order by end_date desc, reported_at desc, filing_id desc, {TIES}) r from facts) where r <= 4")
@@ -310,8 +310,9 @@ def cache_stats(spark, d):
 
 @query(f"with {COMPANIES} select id, name from companies where country_code not in ('ASIA', 'EUROPE', 'REGION_0', 'REGION_1') or market not in (select n_name from nation where n_nationkey < 20)")
 def orphan_cleanup(spark, d):
-    names = [r["n_name"] for r in table(spark, d, "nation").where("n_nationkey < 20").select("n_name").collect()]  # a bounded dimension
-    return storage.orphans(companies(spark, d), [*names, "ASIA", "EUROPE", "REGION_0", "REGION_1"]).select("id", "name")
+    names = table(spark, d, "nation").where("n_nationkey < 20").select("n_name")  # a bounded dimension
+    more = spark.createDataFrame([("ASIA",), ("EUROPE",), ("REGION_0",), ("REGION_1",)], "n_name string")
+    return storage.orphans(companies(spark, d), names.unionAll(more)).select("id", "name")
 
 
 @query("select distinct o_custkey company_id, o_orderpriority category, cast(o_orderdate as date) filing_date from orders where o_orderstatus = 'F' except select o_custkey, o_orderpriority, cast(o_orderdate as date) from orders where o_orderstatus = 'O'")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.folds import fold
+from ..functions.folds import KINDS, fold
 from ..operators.windows import top_per_group
 
 LEI = r"^[A-Z0-9]{18}[0-9]{2}$"
@@ -44,7 +44,7 @@ def first_wins(df: DataFrame, key: str) -> DataFrame:
 
 
 def uk_company_id(lei: Column, name: Column) -> Column:
-    return F.when(F.upper(lei).rlike(LEI), F.concat(F.lit("uk_lei_"), F.upper(lei))).otherwise(F.concat(F.lit("uk_nsm_issuer_"), _slug(F.regexp_replace(F.lower(name), r"\s+", " "))))
+    return F.when(F.upper(lei).rlike(LEI), F.concat(F.lit("uk_lei_"), F.upper(lei))).otherwise(F.concat(F.lit("uk_nsm_issuer_"), _slug(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))))
 
 
 def uk_issuers(hits: DataFrame) -> DataFrame:
@@ -81,9 +81,23 @@ def search_headlines(filings: DataFrame, keyword: str | None, type_codes: Sequen
 
 # Document types, with category and type.
 EDINET_TYPES = {
-    "120": ("accounts", "annual_report"), "130": ("accounts", "annual_report_amendment"), "140": ("accounts", "quarterly_report"), "150": ("accounts", "quarterly_report_amendment"), "160": ("accounts", "semiannual_report"),
-    "170": ("accounts", "semiannual_report_amendment"), "180": ("disclosure", "extraordinary_report"), "190": ("disclosure", "extraordinary_report_amendment"), "350": ("major_holdings", "large_shareholding_report"), "360": ("major_holdings", "large_shareholding_report_amendment"),
-}
+    "120": ("accounts", "annual"),
+    "130": ("accounts", "annual_amendment"),
+    "135": ("confirmation", "confirmation"),
+    "136": ("confirmation", "confirmation_amendment"),
+    "140": ("accounts", "quarterly"),
+    "150": ("accounts", "quarterly_amendment"),
+    "160": ("accounts", "semiannual"),
+    "170": ("accounts", "semiannual_amendment"),
+    "180": ("current", "current_report"),
+    "190": ("current", "current_report_amendment"),
+    "200": ("governance", "parent_company_status"),
+    "210": ("governance", "parent_company_status_amendment"),
+    "220": ("capital", "share_buyback"),
+    "230": ("capital", "share_buyback_amendment"),
+    "235": ("internal_control", "internal_control"),
+    "236": ("internal_control", "internal_control_amendment"),
+}
 
 
 def edinet_filings(rows: DataFrame) -> DataFrame:
@@ -138,11 +152,43 @@ def cvm_companies(rows: DataFrame) -> DataFrame:
     return last_wins(out, "id").drop("seq")
 
 
-def cvm_filings(rows: DataFrame) -> DataFrame:
-    """The delivery index; the last row of a protocol stays."""
-    out = rows.select(
-        F.concat(F.lit("br_cvm_"), "Protocolo_Entrega").alias("id"), F.concat(F.lit("br_cvm_"), F.lpad(F.regexp_replace("Codigo_CVM", r"\D", ""), 6, "0")).alias("company_id"), F.lit("cvm").alias("source"), F.concat_ws(" - ", "Categoria", "Tipo", "Assunto").alias("title"),
-        F.col("Categoria").alias("category"), F.col("Tipo").alias("filing_type"), _day("Data_Entrega", "yyyy-MM-dd").alias("filing_date"), _day("Data_Referencia", "yyyy-MM-dd").alias("period_end"), F.lit(None).cast("timestamp").alias("published_at"), F.col("Link_Download").alias("document_id"), "seq",
+# Kinds of deliveries that hold accounts, and what they are.
+CVM_ACCOUNTS = {
+    "demonstracoes financeiras anuais completas": "annual",
+    "demonstracoes financeiras intermediarias": "interim",
+    "demonstracoes financeiras adicionais": "additional_financial_statements",
+}
+
+
+def _name(column: Column) -> Column:
+    """Words of ASCII letters and digits, joined by underscores."""
+    words = F.array_join(F.regexp_extract_all(fold(column, "search"), F.lit("[a-z0-9]+"), 0), "_")
+    return F.when(words != "", words).otherwise("document")
+
+
+def cvm_filings(rows: DataFrame, category: str | None = None) -> DataFrame:
+    """The delivery index; the last row of a delivery stays. Rows without a code, a sequence number in
+    the address, or one of the two dates go. category: accounts are the kinds that hold them, insider
+    takes every row as such, any other is compared with the row's own."""
+    kind, own = F.trim(F.coalesce("Tipo", F.lit(""))), F.trim(F.coalesce("Categoria", F.lit("")))
+    accounts = F.create_map(*[F.lit(x) for pair in CVM_ACCOUNTS.items() for x in pair])[fold(kind, "search")]
+    insider = category is not None and category.casefold() == "insider"
+    out = rows.withColumn("__accounts", accounts)
+    if category and category.casefold() == "accounts":
+        out = out.where("__accounts is not null")
+    elif category and not insider:
+        out = out.where(fold(own, "search") == KINDS["search"](category))
+    period, number = _day("Data_Referencia", "yyyy-MM-dd"), F.regexp_extract(F.coalesce("Link_Download", F.lit("")), r"[?&]numSequencia=(\d+)(?:&|$)", 1)
+    digits = F.regexp_replace("Codigo_CVM", r"\D", "")
+    out = out.withColumn("__number", number).where((F.col("__number") != "") & (digits != "") & period.isNotNull() & _day("Data_Entrega", "yyyy-MM-dd").isNotNull())
+    insiders = F.lit("insider" if insider else None).cast("string")
+    title = F.concat(F.when(kind != "", kind).otherwise("CVM filing"), F.lit(" for period ended "), period.cast("string"))
+    first = F.when(kind != "", kind).when(own != "", own).otherwise("document")
+    out = out.select(
+        F.concat(F.lit("br_cvm_"), "__number").alias("id"), F.concat(F.lit("br_cvm_"), F.lpad(digits, 6, "0")).alias("company_id"), F.lit("cvm").alias("source"), title.alias("title"),
+        F.when(F.col("__accounts").isNotNull(), "accounts").otherwise(F.coalesce(insiders, _name(own))).alias("category"), F.coalesce("__accounts", insiders, _name(first)).alias("filing_type"),
+        _day("Data_Entrega", "yyyy-MM-dd").alias("filing_date"), period.alias("period_end"), _day("Data_Entrega", "yyyy-MM-dd").cast("timestamp").alias("published_at"),
+        F.nullif(F.trim("Assunto"), F.lit("")).alias("description"), F.col("Link_Download").alias("document_id"), "seq",
     )
     return last_wins(out, "id").drop("seq")
 
