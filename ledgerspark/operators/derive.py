@@ -17,6 +17,9 @@ RULES = (
     ("total_liabilities", (("current_liabilities", 1), ("noncurrent_liabilities", 1))),
 )
 
+#: Totals of printed sheets that state both halves only.
+HALVES = (RULES[0], RULES[2])
+
 #: The third term of assets = liabilities + equity from the other two.
 THIRD_TERM = (
     ("total_assets", (("total_liabilities", 1), ("total_equity", 1))),
@@ -32,6 +35,21 @@ def derive_totals(facts: DataFrame, rules: Sequence = RULES) -> DataFrame:
     them. A derived value has the least confidence and precision of its terms,
     and the codes that it really comes from.
     """
+    return facts.unionByName(_derived(facts, rules), allowMissingColumns=True)
+
+
+def derive_printed_totals(facts: DataFrame) -> DataFrame:
+    """facts of printed sheets with the totals that a filing never states: first from both halves, then
+    the third of assets, liabilities and equity where it states, or has by then, exactly two."""
+    stated = lambda df: df.where(F.coalesce(F.size("dimensions"), F.lit(0)) <= 0).select("filing_id", "code").distinct()
+    out = facts.unionByName(_derived(facts, HALVES).join(stated(facts), ["filing_id", "code"], "left_anti"), allowMissingColumns=True)
+    known = stated(out)
+    two = known.where(F.col("code").isin([code for code, _ in THIRD_TERM])).groupBy("filing_id").agg(F.count("*").alias("n")).where("n = 2").select("filing_id")
+    third = _derived(out.join(two, "filing_id", "left_semi"), THIRD_TERM).join(known, ["filing_id", "code"], "left_anti")
+    return out.unionByName(third, allowMissingColumns=True)
+
+
+def _derived(facts: DataFrame, rules: Sequence) -> DataFrame:
     codes = sorted({c for code, terms in rules for c in (code, *(t for t, _ in terms))})
     plain = facts.where(F.coalesce(F.size("dimensions"), F.lit(0)) <= 0)
     value = lambda c, col: F.max(F.when(F.col("code") == c, F.col(col)))
@@ -52,7 +70,7 @@ def derive_totals(facts: DataFrame, rules: Sequence = RULES) -> DataFrame:
         state[code], sure[code] = F.coalesce(state[code], total), F.coalesce(sure[code], least)
     rows = wide.select(*PERIOD, F.explode(F.array(*[F.struct(F.lit(c).alias("code"), v.alias("value"), d.alias("derived_from"), s.alias("confidence")) for c, (v, d, s) in new.items()])).alias("d"))
     found = rows.where("d.value is not null").select(*PERIOD, "d.code", F.lit("derived").alias("provenance"), "d.value", "d.derived_from", "d.confidence")
-    return facts.unionByName(found, allowMissingColumns=True)
+    return found
 
 
 def audit(facts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
-from ..operators import derive, documents, search, storage, windows
+from ..operators import derive, documents, search, storage, views, windows
 from ..streaming import streams
 from ..tables import FACT_TIES, companies, facts, filings, table
 
@@ -384,3 +384,93 @@ select user_id, count(*) n, min(ts) first_ts from s group by user_id, session"""
 def session_window(spark, d):
     out = streams.bursts(streams.events(table(spark, d, "events")), "30 minutes")
     return out.select("user_id", "n", F.col("session_window.start").cast("timestamp_ntz").alias("first_ts"))
+
+
+# ---- views, counts and briefs ----------------------------------------------
+
+
+@query(f"""with {FACTS}, i as (select *, row_number() over (partition by filing_id, statement_type order by f, code) r from (select filing_id, statement_type, code, min(seq) f from facts group by all)),
+s as (select *, row_number() over (partition by filing_id, statement_type, code order by end_date desc, {TIES}) r from facts where statement_type in ('A', 'R'))
+select s.filing_id, s.statement_type, s.code, s.end_date, s.value from s join i on i.filing_id = s.filing_id and i.statement_type = s.statement_type and i.code = s.code and i.r <= 1 where s.r <= 2""")
+def statement_view(spark, d):
+    """The first item of two statements of each filing, in its two newest periods."""
+    return views.statement_view(facts(spark, d), ["A", "R"], periods=2, detail="minimal", max_line_items=1, ties=FACT_TIES, valid=("A", "N", "R"))
+
+
+@query(f"with {FACTS} select filing_id, count(value) fact_count from facts group by filing_id")
+def kept_fact_count(spark, d):
+    return views.kept_fact_count(facts(spark, d))
+
+
+@query("select o_custkey filing_id, o_orderstatus statement_type, case when count(distinct split_part(o_orderpriority, '-', 1)) = 1 then min(split_part(o_orderpriority, '-', 1)) end currency from orders group by all")
+def single_currency(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("filing_id"), F.col("o_orderstatus").alias("statement_type"), F.replace("o_orderpriority", F.lit("-"), F.lit("/")).alias("unit"))
+    return views.single_currency(rows)
+
+
+@query("select o_custkey filing_id, o_orderstatus statement_type, arg_min(o_orderpriority, o_orderkey) filter (where o_orderpriority not like '1%') currency from orders group by all")
+def first_unit(spark, d):
+    unit = F.when(~F.startswith("o_orderpriority", F.lit("1")), F.col("o_orderpriority"))
+    return views.first_unit(table(spark, d, "orders").select(F.col("o_custkey").alias("filing_id"), F.col("o_orderstatus").alias("statement_type"), unit.alias("unit"), F.col("o_orderkey").alias("seq")))
+
+
+@query(f"with {FACTS} select filing_id, statement_type, code, sum(cast(abs(value) as decimal(18,2))) magnitude, bool_and(value = 0) all_zero, max(end_date) latest, count(distinct end_date) n_periods from facts group by all")
+def item_magnitude(spark, d):
+    rows = facts(spark, d).withColumn("value", F.col("value").cast("decimal(18,2)"))
+    found = views.magnitudes(rows)
+    return found.select("filing_id", "statement_type", "code", F.col("magnitude").cast("decimal(38,2)").alias("magnitude"), "all_zero", "latest", F.size("period_ids").cast("long").alias("n_periods"))
+
+
+@query("select user_id, count(*) discovered, count(*) filter (where event_type <> 'error') processed, cast(count(*) filter (where event_type = 'purchase') as double) stored, count(*) filter (where event_type = 'error') n_failures from events group by user_id")
+def run_tally(spark, d):
+    """Events as results of a run over filings."""
+    results = table(spark, d, "events").select("user_id", F.col("event_id").alias("filing_id"), (F.col("event_type") == "purchase").cast("double").alias("stored"), F.when(F.col("event_type") == "error", "Error").alias("error"))
+    return views.tally(results, ["user_id"]).select("user_id", "discovered", "processed", "stored", F.size("failures").cast("long").alias("n_failures"))
+
+
+@query("select filing_id, section_no, truncated from (select o_custkey filing_id, o_orderkey section_no, count(*) over (partition by o_custkey) > 3 truncated, row_number() over (partition by o_custkey order by o_orderkey) r from orders) where r <= 3")
+def outline_limit(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("filing_id"), F.col("o_orderkey").alias("section_no"))
+    return views.outline(rows, 3)
+
+
+@query(f"""with {FACTS}, m as (select * from (select *, row_number() over (partition by company_id, statement_type, code, end_date order by f, {TIES}) r from (select *, dense_rank() over (partition by company_id order by reported_at desc, filing_id desc) f from facts) where f <= 3) where r = 1),
+i as (select *, row_number() over (partition by company_id, statement_type order by s, code) r from (select company_id, statement_type, code, min(seq) s from m group by all)),
+t as (select *, row_number() over (partition by company_id, statement_type, code order by end_date desc, {TIES}) n from m)
+select {", ".join("t." + c for c in FACT_OUT)} from t join i on i.company_id = t.company_id and i.statement_type = t.statement_type and i.code = t.code and i.r <= 12 where n <= 3""")
+def research_brief_profile(spark, d):
+    return views.research_brief(filings(spark, d), facts(spark, d), FACT_TIES)[1].select(FACT_OUT)
+
+
+@query("""select doc_id, '# ' || source || chr(10) || chr(10) || '- Issuer: ' || coalesce(lang, doc_id::varchar) || chr(10) || '- Company ID: `' || doc_id || '`' || chr(10) || '- Filed: 2024-01-02' || chr(10) || '- Filing type: `annual`' || chr(10)
+|| '- Source system: `s`' || chr(10) || '- Source: u' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') || chr(10) page, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') || chr(10) body from documents""")
+def front_matter(spark, d):
+    """Texts as filings' bodies, with their particulars and again without."""
+    rows = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("title"), F.col("lang").alias("issuer_name"), F.col("doc_id").cast("string").alias("company_id"), F.lit("2024-01-02").cast("date").alias("filing_date"), F.lit("annual").alias("filing_type"), F.lit("s").alias("source"), F.lit("u").alias("source_url"))
+    pages = rows.select("doc_id", views.with_front_matter(F.col("text")).alias("page"))
+    return pages.withColumn("body", views.without_front_matter(F.col("page")))
+
+
+@query("select doc_id, sha256(text) sha256, strlen(text) size_bytes from documents where text is not null")
+def content_rows(spark, d):
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("markdown"))
+    return views.content_rows(rows).select("doc_id", "sha256", F.col("size_bytes").cast("long").alias("size_bytes"))
+
+
+@query("select o_orderkey id, case when o_orderstatus = 'O' then o_orderstatus || ' ' else '' end || strftime(o_orderdate, '%Y-%m-%d') as label from orders")
+def period_labels(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), views.period_label(F.when(F.col("o_orderstatus") == "O", F.col("o_orderstatus")), F.col("o_orderdate")).alias("label"))
+
+
+@query("""with s as (select o_orderkey k, case when o_orderstatus <> 'F' then 1.0 * (o_orderkey % 1000) end ca, case when o_orderkey % 3 <> 0 then 1.0 * (o_orderkey % 700) end na, case when o_orderkey % 5 = 0 then 1.0 * (o_orderkey % 400) end li, case when o_orderkey % 7 <> 0 then 1.0 * (o_orderkey % 300) end eq from orders),
+t as (select *, ca + na ta from s)
+select k filing_id, code, v::bigint as value from (select k, 'total_assets' code, coalesce(ta, case when li is not null and eq is not null then li + eq end) v from t
+union all select k, 'total_liabilities', case when li is null and ta is not null and eq is not null then ta - eq end from t union all select k, 'total_equity', case when eq is null and ta is not null and li is not null then ta - li end from t) where v is not null""")
+def derive_printed_totals(spark, d):
+    """Orders as printed sheets, some with halves and some with two of the three totals; the derived values."""
+    k = F.col("o_orderkey")
+    cells = {"current_assets": F.when(F.col("o_orderstatus") != "F", k % 1000), "noncurrent_assets": F.when(k % 3 != 0, k % 700), "total_liabilities": F.when(k % 5 == 0, k % 400), "total_equity": F.when(k % 7 != 0, k % 300)}
+    rows = table(spark, d, "orders").select(k.alias("filing_id"), F.explode(F.array(*[F.struct(F.lit(c).alias("code"), v.cast("decimal(38,10)").alias("value")) for c, v in cells.items()])).alias("c")).select("filing_id", "c.*").where("value is not null")
+    rows = rows.select("*", F.lit(None).cast("date").alias("start_date"), F.lit("2024-12-31").cast("date").alias("end_date"), F.lit("instant").alias("kind"), F.lit("GBP").alias("unit"), F.lit("pdf_table").alias("provenance"), F.lit(75).alias("confidence"), F.array().cast("array<string>").alias("dimensions"))
+    # Null-safe keys: a sheet's periods have no start.
+    return derive.derive_printed_totals(rows).where("provenance = 'derived'").select("filing_id", "code", F.col("value").cast("long").alias("value"))

@@ -10,16 +10,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .headings import VOID, recovered
+
 # Elements that have no visible text, and those that end a line.
 HIDDEN = {"script", "noscript", "svg", "style", "template", "head", "ix:header", "ix:hidden", "ix:exclude"}
-VOID = {"img", "link", "meta", "br", "hr", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "nav", "ul", "ol", "table", "blockquote", "pre", "form", "figure", "aside", "dl", "dd", "dt"}
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 
 
 class _Writer(HTMLParser):
-    def __init__(self):
+    def __init__(self, before: dict[int, str], gone: set[int]):
         super().__init__(convert_charrefs=True)
+        self.before, self.gone, self.number = before, gone, 0
         self.out: list[str] = []
         self.hidden: list[str] = []
         self.row: list[str] | None = None
@@ -32,6 +34,15 @@ class _Writer(HTMLParser):
         (self.out if self.cell is None else self.cell).append(text)
 
     def handle_starttag(self, tag, attrs):
+        self.number += 1
+        if self.hidden == ["head"] and (tag == "body" or tag in BLOCKS or tag in HEADINGS):
+            self.hidden = []  # a head that is never closed ends where the body begins
+        if not self.hidden and self.number in self.before:
+            title = self.before[self.number]
+            self._put(f"\n\n## {title}\n\n" if self.cell is None else f" {title} ")
+        if self.number in self.gone and not self.hidden:
+            self.hidden.append(tag)
+            return
         if self.hidden:
             if tag not in VOID and tag == self.hidden[-1]:
                 self.hidden.append(tag)
@@ -121,8 +132,8 @@ class _Writer(HTMLParser):
 
 
 def to_markdown(html: str) -> str:
-    """Visible text with headings, lists and tables; at most one blank line in a row."""
-    writer = _Writer()
+    """Visible text with headings (recovered ones too), lists and tables; at most one blank line in a row."""
+    writer = _Writer(*recovered(html))
     writer.feed(html)
     writer.close()
     writer._end_row()
