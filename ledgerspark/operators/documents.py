@@ -11,8 +11,8 @@ WORDS = r"[\p{L}\p{N}]+"
 def quality_score(text: Column, pages: Column | None = None) -> Column:
     """0 to 100: penalties for little text, few letters, broken characters, and text on one line."""
     body = F.coalesce(text, F.lit(""))
-    size = F.length(F.regexp_replace(body, r"(?U)\s", ""))
-    alnum = F.length(F.regexp_replace(body, r"[^\p{L}\p{N}]", "")) / size
+    size = F.length(body) - F.regexp_count(body, F.lit(r"(?U)\s"))
+    alnum = (F.length(body) - F.regexp_count(body, F.lit(r"[^\p{L}\p{N}]"))) / size
     broken = (F.length(body) - F.length(F.replace(body, F.lit("�"), F.lit("")))) / size
     lines = F.size(F.filter(F.split(body, r"\R"), lambda x: F.trim(x) != ""))
     score = F.lit(100) - F.when(size < 80, 60).when(size < 300, 25).otherwise(0) - F.when(alnum < 0.35, 30).when(alnum < 0.5, 15).otherwise(0)

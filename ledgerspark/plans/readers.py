@@ -79,7 +79,7 @@ def dispatched_line_items(spark, d):
     return dispatch.line_items(docs).select("filing_id", "code", "kind", F.col("value").cast("double").alias("value"), "provenance")
 
 
-@query(f"with {O} select k filing_id, 'total_assets' code, 1000.0 * n as value, 'BRL' unit, day end_date, 'ULTIMO' ordem from o where s <> 'P' union all select k, 'inventory', 1000.0 * c, 'BRL', day, 'ULTIMO' from o")
+@query(f"with {O} select k filing_id, 'total_assets' code, (1000 * n)::double as value, 'BRL' unit, day end_date, 'ULTIMO' ordem from o where s <> 'P' union all select k, 'inventory', (1000 * c)::double, 'BRL', day, 'ULTIMO' from o")
 def cvm_accounts(spark, d):
     """Account rows: the shallowest account of a code that has a value."""
     rows = _orders(spark, d)
