@@ -31,8 +31,8 @@ _MEMBER = b"\x1f\x8b\x08"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNK = 1 << 14
 _LINE = re.compile(rb"WARC/1\.[01]\r\n")
-#: Records of one archive; a file stays small enough to be read as one value.
-RECORDS_PER_FILE = 2000
+#: Bytes of one archive, which is read as one value; a larger record is an archive of its own.
+FILE_BYTES = 16 << 20
 
 
 def record_id(page) -> str:
@@ -160,7 +160,10 @@ def choose_roles(pages: DataFrame) -> DataFrame:
     Digests and lengths are found where the rows are. The least page_id of each
     digest comes from an aggregation, which Spark combines before its shuffle;
     rows meet it in a join that can split a frequent digest. Html crosses the
-    shuffle compressed as the record that it may become.
+    shuffle compressed as the record that it may become. Null html is empty; rows
+    without page_id, and payloads below the least size, are responses. Of equal
+    page_ids each row keeps its own role. Columns named as the results clash
+    with nothing: only page_id, url and html are read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.select("*", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha2(F.col("html").cast("binary"), 256).alias("payload_digest"))
@@ -178,27 +181,46 @@ def _responses(batches):
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("payload_bytes"), part.column("payload_digest"), pa.array(members, pa.binary())], names=["page_id", "url", "payload_bytes", "payload_digest", "member"])
 
 
-def _rows_out(batches):
-    for batch in batches:
-        out = []
-        for page, url, size, digest, packed, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload_bytes", "payload_digest", "member", "refers_to"))):
-            if refers is not None:
-                packed = member(build_record(page, url, "revisit", b"", digest, size, refers))
-            out.append(packed[:-1])  # the writer's separator is the zero byte
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """One record for each row of pages (page_id, url, html), as gzip members in files below path.
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """One record for each row of pages (page_id, url, html), as gzip members in files below path."""
+    A null html is an empty payload, a null url an empty address; a row without
+    page_id is a response that nothing revisits. Of rows of one page_id and one
+    payload each is a record, all of the same kind. An empty table gives no
+    archive; further columns, whatever their names, are not read. No file is
+    larger than file_bytes, unless one record is.
+    """
     ready = choose_roles(pages).select("page_id", "url", "payload_bytes", "payload_digest", F.expr("case when refers_to is null then member end").alias("member"), "refers_to")
-    rows = ready.mapInArrow(_rows_out, "value binary")
-    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "none").text(path)
+
+    @released
+    def pack(batches):
+        held, size = [], 0
+
+        def archive():
+            # Each member ends in a zero byte, which stands between two of them; the writer adds the last one.
+            return pa.RecordBatch.from_arrays([pa.array([b"\x00".join(held)], pa.binary())], names=["value"])
+
+        for batch in batches:
+            for page, url, length, digest, packed, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload_bytes", "payload_digest", "member", "refers_to"))):
+                if refers is not None:
+                    packed = member(build_record(page, url, "revisit", b"", digest, length, refers))
+                if held and size + len(packed) > file_bytes:
+                    yield archive()
+                    held, size = [], 0
+                held.append(packed[:-1])
+                size += len(packed)
+        if held:
+            yield archive()
+
+    rows = ready.mapInArrow(pack, "value binary")
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """Rows of kind record or gap: file, offset, length, and of records their headers' page_id,
     record_type, payload_bytes, payload_digest, refers_to (and payload). Gaps are the
-    quarantined byte ranges of damaged archives."""
+    quarantined byte ranges of damaged archives. Repeated records are repeated rows; a record without
+    a page has a null page_id; no archives give no rows."""
     fields = [("file", pa.string()), ("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())]
     if payloads:
         fields.append(("payload", pa.binary()))
