@@ -21,6 +21,11 @@ def _orders(spark, d):
     return rows.withColumn("n", F.col("k") % 10000).withColumn("at", F.col("day").cast("string"))
 
 
+def _spread(docs):
+    """Documents over all cores: a few MB of rows make many reports, and reading one is work."""
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism, "filing_id")
+
+
 def _text(template: str):
     """The template with {column} filled in; a native expression."""
     parts = template.replace("{", "\0{").replace("}", "}\0").split("\0")
@@ -42,7 +47,7 @@ union all select k::varchar, 'ifrs-full:Assets', null, day, 'instant', n + 0.5,
 def inline_xbrl_values(spark, d):
     """Every order as an inline report of two facts and one without a context."""
     docs = _orders(spark, d).withColumn("sign", F.when(F.col("s") == "F", "-").otherwise("")).select(F.col("k").alias("filing_id"), F.encode(_text(INLINE), "UTF-8").alias("content"))
-    return xbrl.values(xbrl.parse_reports(docs)).select("filing_id", "concept", "start_date", "end_date", "kind", F.col("value").cast("double").alias("value"), "unit", "decimals")
+    return xbrl.values(xbrl.parse_reports(_spread(docs))).select("filing_id", "concept", "start_date", "end_date", "kind", F.col("value").cast("double").alias("value"), "unit", "decimals")
 
 
 INSTANCE = (
@@ -57,7 +62,7 @@ INSTANCE = (
 def instance_statements(spark, d):
     """Every order as an instance: the preferred concept, the most precise value, no segment."""
     docs = _orders(spark, d).select(F.col("k").alias("filing_id"), F.encode(_text(INSTANCE), "UTF-8").alias("content"))
-    return xbrl.statements(docs).select("filing_id", "code", "end_date", F.col("value").cast("double").alias("value"))
+    return xbrl.statements(_spread(docs)).select("filing_id", "code", "end_date", F.col("value").cast("double").alias("value"))
 
 
 @query(f"""with {O} select k::varchar filing_id, 'total_assets' code, 'instant' kind, n::double as value, 'tagged_xbrl' provenance from o where s <> 'F' union all select k::varchar, 'total_equity', 'instant', (n // 2)::double, 'tagged_xbrl' from o where s <> 'F'
@@ -76,7 +81,7 @@ def dispatched_line_items(spark, d):
         F.col("k").cast("string").alias("filing_id"), F.when(tagged, F.encode(_text(page), "UTF-8")).otherwise(F.encode(F.lit("%PDF-1.7"), "UTF-8")).alias("content"), F.when(tagged, "text/html").otherwise("application/pdf").alias("media_type"),
         F.lit(None).cast("string").alias("profile"), F.when(~tagged, _text(sheet)).alias("markdown"), F.lit("2024-12-31").cast("date").alias("period_end"),
     )
-    return dispatch.line_items(docs).select("filing_id", "code", "kind", F.col("value").cast("double").alias("value"), "provenance")
+    return dispatch.line_items(_spread(docs)).select("filing_id", "code", "kind", F.col("value").cast("double").alias("value"), "provenance")
 
 
 @query(f"with {O} select k filing_id, 'total_assets' code, (1000 * n)::double as value, 'BRL' unit, day end_date, 'ULTIMO' ordem from o where s <> 'P' union all select k, 'inventory', (1000 * c)::double, 'BRL', day, 'ULTIMO' from o")
@@ -136,7 +141,7 @@ def archive_largest_page(spark, d):
             yield frame.assign(filing_id=frame["k"].astype(str), content=out)[["filing_id", "content"]]
 
     archives = _orders(spark, d).select("k", "p").mapInPandas(pack, "filing_id string, content binary")
-    return structured.largest_html(archives).select("filing_id", "member", F.length("content").cast("long").alias("size"))
+    return structured.largest_html(_spread(archives)).select("filing_id", "member", F.length("content").cast("long").alias("size"))
 
 
 @query(f"""with {O} select 'jp_edinet_S' || k id, 'jp_e' || lpad(c::varchar, 5, '0') company_id, case when s = 'F' then 'accounts' when s = 'O' then 'capital' else 'other' end category, case when s = 'F' then 'annual' when s = 'O' then 'share_buyback' else '999' end filing_type,
