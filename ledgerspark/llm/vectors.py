@@ -6,8 +6,9 @@ robust pruning keeps those that no kept one is much closer to. The adjacency
 lists of all shards are united. Then every node of a shard is searched for,
 greedily from the shard's medoids along the united graph, and a search that has
 come within range expands through everything in range. What is found is
-verified in double precision, and recall is audited against brute force for
-sampled queries, more of them until they have enough true links. If it falls
+verified in double precision and counted by the one task that owns the pair, so
+tasks hand on counts and the least node of each local group, never pairs.
+Recall is audited against brute force for sampled queries, more of them until they have enough true links. If it falls
 short, the build repeats with more overlap; if that is not enough either, all
 pairs are compared in blocks. Too few true links leave the graph not audited,
 which a warning and a null recall say.
@@ -21,6 +22,7 @@ import warnings
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,9 @@ AUDIT_LINKS, MOST_AUDIT_QUERIES = 100, 1 << 14
 MOST_OVERLAP = 12
 #: Nodes of a block where all pairs are compared.
 EXACT_NODES = 4096
+#: What a task says of a node that it found links of: the least node that these reach, how many
+#: links, and how many vectors (copies included) they lead to. Pairs are not handed on.
+FOUND = "a long, b long, links long, others long"
 
 
 # ---- graphs ----------------------------------------------------------------
@@ -209,17 +214,20 @@ def _unit(column) -> np.ndarray:
 def _parse(batches):
     """vec_id, key (of the exact contents; null if it links with nothing), vec (doubles)."""
     for batch in batches:
-        keys, vecs = [], []
-        for value in batch.column("embedding").to_pylist():
-            ok = bool(value) and None not in value
-            x = np.array(value, np.float64) if ok else np.zeros(1)
-            ok = ok and bool(np.isfinite(x).all()) and bool(x.any())
-            if ok:
-                x = x / np.abs(x).max()  # far from overflow; directions stay
-                ok = bool(np.linalg.norm(x) > 0)
-            raw = (x + 0.0).tobytes()
-            keys.append(hashlib.blake2b(raw, digest_size=16).digest() if ok else None)
-            vecs.append(raw if ok else None)
+        column = batch.column("embedding")
+        width = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64)  # a null is NaN there
+        first = np.cumsum(width) - width
+        keys, vecs = [None] * len(width), [None] * len(width)
+        for w in np.unique(width[width > 0]):  # usually one
+            rows = np.flatnonzero(width == w)
+            x = values[first[rows][:, None] + np.arange(w)]
+            some = np.isfinite(x).all(axis=1) & x.any(axis=1)
+            rows, x = rows[some], x[some]
+            x = x / np.abs(x).max(axis=1, keepdims=True) + 0.0  # far from overflow; directions stay; no negative zero
+            for row, one in zip(rows, x):
+                vecs[row] = one.tobytes()
+                keys[row] = hashlib.blake2b(vecs[row], digest_size=16).digest()
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], names=["vec_id", "key", "vec"])
 
 
@@ -239,7 +247,7 @@ def _centres(nodes: DataFrame, count: int) -> np.ndarray:
 
 
 def _assign(nodes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
-    """shard, id, vec: each node in the shards of its nearest centres."""
+    """shard, shards, id, copies, vec: each node in the shards of its nearest centres, all of which it names."""
     shared = nodes.sparkSession.sparkContext.broadcast(centres)
 
     @released
@@ -252,21 +260,59 @@ def _assign(nodes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
                 s = _unit(batch.column("vec")).astype(np.float32) @ c.T
                 top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(c) else np.tile(np.arange(len(c)), (len(s), 1))
                 at = pa.array(np.repeat(np.arange(len(s)), take))
-                yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int64)), batch.column("id").take(at), batch.column("vec").take(at)], names=["shard", "id", "vec"])
+                each = np.repeat(np.sort(top, axis=1).astype(np.int64), take, axis=0)
+                every = pa.ListArray.from_arrays(pa.array(np.arange(0, each.size + 1, take, dtype=np.int32)), pa.array(each.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int64)), every, *[batch.column(c).take(at) for c in ("id", "copies", "vec")]], names=["shard", "shards", "id", "copies", "vec"])
 
-    return nodes.select("id", "vec").mapInArrow(run, "shard long, id long, vec binary")
+    return nodes.select("id", "copies", "vec").mapInArrow(run, "shard long, shards array<long>, id long, copies long, vec binary")
 
 
 def _tiled(assigned: DataFrame) -> DataFrame:
-    """task, id, vec: a shard is one task, unless it is too large: then each two of its tiles are one."""
+    """task, shard, tile, alone, shards, id, copies, vec: a shard is one task, unless it is too large: then
+    each two of its tiles are one. tile: the node's; alone: both tiles of the task are the same."""
     sizes = assigned.groupBy("shard").agg(F.count("*").alias("n"))
     rows = assigned.join(sizes, "shard").withColumn("tiles", F.when(F.col("n") <= MOST_NODES, 1).otherwise(F.ceil(F.col("n") * 2 / F.lit(MOST_NODES)))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
-    return rows.select(F.concat_ws("-", "shard", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "id", "vec")
+    return rows.select(F.concat_ws("-", "shard", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "shard", F.col("own").alias("tile"), (F.col("own") == F.col("other")).alias("alone"), "shards", "id", "copies", "vec")
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The least node that the links i, j (and the groups of root, where given) reach from each of n nodes."""
+    root = np.arange(n) if root is None else root
+    while True:
+        least = np.minimum(root[i], root[j])
+        now = root.copy()
+        np.minimum.at(now, root[i], least)
+        np.minimum.at(now, root[j], least)
+        while (now[now] != now).any():
+            now = now[now]
+        if (now == root).all():
+            return root
+        root = now[root]
+
+
+def owned(shards: np.ndarray, tile: np.ndarray, alone: bool, shard: int, i: np.ndarray, j: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Which pairs i, j this task counts: of all tasks that hold both, the one of their least common
+    shard, and there the one of just their tiles. shards: ascending rows."""
+    out = np.zeros(len(i), bool)
+    for low in range(0, len(i), block):
+        p, q = i[low : low + block], j[low : low + block]
+        common = (shards[p][:, :, None] == shards[q][:, None, :]).any(axis=2)
+        out[low : low + block] = shards[p, common.argmax(axis=1)] == shard
+    return out & (alone | (tile[i] != tile[j]))
+
+
+def _counted(ids: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Table:
+    """FOUND's rows of the links i, j between ids, each link given once; ids ascend."""
+    n = len(ids)
+    links = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+    others = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
+    some = np.flatnonzero(links)
+    return pa.table({"a": ids[some], "b": ids[roots(n, i, j)[some]], "links": links[some].astype(np.int64), "others": others[some].astype(np.int64)})
 
 
 def _link(nodes: DataFrame, threshold: float, count: int, overlap: int, beam: int) -> DataFrame:
-    """a, b (a < b): ids of linked nodes."""
+    """FOUND's rows: what each task found of its nodes' links. Every link is counted in one task."""
     tasks = cut(_tiled(_assign(nodes, _centres(nodes, count), overlap)), "shards")
 
     def build(table: pa.Table) -> pa.Table:
@@ -275,7 +321,7 @@ def _link(nodes: DataFrame, threshold: float, count: int, overlap: int, beam: in
         first = np.searchsorted(a, np.arange(len(ids) + 1))
         return pa.table({"id": pa.array(ids), "near": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids[b]))})
 
-    lists = tasks.groupBy("task").applyInArrow(build, "id long, near array<long>")
+    lists = tasks.select("task", "id", "vec").groupBy("task").applyInArrow(build, "id long, near array<long>")
     united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
     def search(table: pa.Table) -> pa.Table:
@@ -287,13 +333,21 @@ def _link(nodes: DataFrame, threshold: float, count: int, overlap: int, beam: in
         b = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
         here = ids[b] == to  # other shards' nodes are met there
         i, j = search_shard(_unit(table.column("vec")), a[here], b[here], threshold, beam)
-        return pa.table({"a": ids[i], "b": ids[j]})
+        shards = np.asarray(table.column("shards").combine_chunks().flatten()).reshape(len(ids), -1)
+        mine = owned(shards, table.column("tile").to_numpy(), table.column("alone")[0].as_py(), table.column("shard")[0].as_py(), i, j)
+        return _counted(ids, table.column("copies").to_numpy(), i[mine], j[mine])
 
-    return tasks.join(united, "id").groupBy("task").applyInArrow(search, "a long, b long").distinct()
+    return tasks.join(united, "id").groupBy("task").applyInArrow(search, FOUND)
 
 
-def audit_links(nodes: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT_QUERIES) -> tuple[int, int]:
-    """(found, true): true links of a bounded hash sample of nodes, and how many of them are among the links."""
+def totals(found: DataFrame) -> DataFrame:
+    """a, links, others: the links of every linked node, summed up over tasks."""
+    whole = found.sparkSession.createDataFrame([], FOUND).unionByName(found, allowMissingColumns=True)
+    return whole.groupBy("a").agg(F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.coalesce(F.sum("others"), F.lit(0)).alias("others"))
+
+
+def audit_links(nodes: DataFrame, found: DataFrame, threshold: float, queries: int = AUDIT_QUERIES) -> tuple[int, int]:
+    """(found, true): links of a bounded hash sample of nodes as counted, and by brute force."""
     rows = nodes.orderBy(F.xxhash64("id", F.lit(11))).limit(queries).select("id", "vec").toArrow()
     ids, x = rows.column("id").to_numpy(), _unit(rows.column("vec")) if rows.num_rows else np.zeros((0, 1))
     shared = nodes.sparkSession.sparkContext.broadcast((ids, x))
@@ -301,55 +355,61 @@ def audit_links(nodes: DataFrame, links: DataFrame, threshold: float, queries: i
     @released
     def scan(batches):
         ids, x = shared.value
+        true = np.zeros(len(ids), np.int64)
         for whole in batches:
             for low in range(0, whole.num_rows, 512):
                 batch = whole.slice(low, 512)
-                q, node = np.nonzero(x @ _unit(batch.column("vec")).T >= threshold)
-                own = batch.column("id").to_numpy()[node]
-                a, b = np.minimum(ids[q], own), np.maximum(ids[q], own)
-                yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b])], names=["a", "b"])
+                near = x @ _unit(batch.column("vec")).T >= threshold
+                true += (near & (ids[:, None] != batch.column("id").to_numpy()[None, :])).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(true)], names=["q", "near"])
 
-    true = nodes.select("id", "vec").mapInArrow(scan, "a long, b long").distinct()
-    total, found = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return found, total
+    true = nodes.select("id", "vec").mapInArrow(scan, "q long, near long").groupBy("q").agg(F.sum("near").alias("near")).where("near > 0")
+    seen, total = true.join(totals(found), F.col("q") == F.col("a"), "left").agg(F.sum(F.coalesce("links", F.lit(0))), F.sum("near")).first()
+    return seen or 0, total or 0
 
 
-def audit_recall(nodes: DataFrame, links: DataFrame, threshold: float, count: int) -> float | None:
-    """Share of true links that are among the links, from as many queries as give AUDIT_LINKS true
+def audit_recall(nodes: DataFrame, found: DataFrame, threshold: float, count: int) -> float | None:
+    """Share of true links that are found, from as many queries as give AUDIT_LINKS true
     links, or from all count nodes; None where MOST_AUDIT_QUERIES give fewer."""
     queries = AUDIT_QUERIES
     while True:
-        found, total = audit_links(nodes, links, threshold, queries)
+        seen, total = audit_links(nodes, found, threshold, queries)
         if queries >= count:
-            return found / total if total else 1.0  # all nodes were compared
+            return seen / total if total else 1.0  # all nodes were compared
         if total >= AUDIT_LINKS:
-            return found / total
+            return seen / total
         if queries >= MOST_AUDIT_QUERIES:
             return None
         queries = min(MOST_AUDIT_QUERIES, queries * 8)
 
 
 def exact_links(nodes: DataFrame, threshold: float, count: int) -> DataFrame:
-    """a, b (a < b): all linked ids, every pair compared in double precision; each two blocks are a task."""
+    """FOUND's rows with every pair compared in double precision; each two blocks are a task."""
     parts = max(1, math.ceil(count / EXACT_NODES))
-    rows = nodes.select("id", "vec").withColumn("own", F.pmod(F.xxhash64("id", F.lit(13)), F.lit(parts)))
+    rows = nodes.select("id", "copies", "vec").withColumn("own", F.pmod(F.xxhash64("id", F.lit(13)), F.lit(parts)))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    rows = rows.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "vec")
+    rows = rows.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "copies", "vec")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, own, x = table.column("id").to_numpy(), table.column("own").to_numpy(), _unit(table.column("vec"))
+        table = table.sort_by("id")
+        ids, copies, own = (table.column(c).to_numpy() for c in ("id", "copies", "own"))
+        x = _unit(table.column("vec"))
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for low in range(0, len(left), 512):
+        n = len(ids)
+        links, others, root = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+        for low in range(0, len(left), 512):  # what is held is these rows' links
             i, j = np.nonzero(x[left[low : low + 512]] @ x[right].T >= threshold)
-            i, j = ids[left[low + i]], ids[right[j]]
+            i, j = left[low + i], right[j]
             some = i < j if p == q else i != j
-            a.append(np.minimum(i, j)[some])
-            b.append(np.maximum(i, j)[some])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            i, j = i[some], j[some]
+            links += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+            others += (np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)).astype(np.int64)
+            root = roots(n, i, j, root)
+        some = np.flatnonzero(links)
+        return pa.table({"a": ids[some], "b": ids[root[some]], "links": links[some], "others": others[some]})
 
-    return rows.groupBy("p", "q").applyInArrow(compare, "a long, b long")
+    return rows.groupBy("p", "q").applyInArrow(compare, FOUND)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -367,19 +427,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     source = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     parsed = cut(source.mapInArrow(_parse, "vec_id long, key binary, vec binary"), "vectors")
     classes = cut(parsed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "nodes")
-    links, recall = None, 1.0
+    found, recall = None, 1.0
     # Vectors of one length are compared with each other; usually there is one length.
     for (width,) in classes.select(F.octet_length("vec")).distinct().collect():
         nodes = classes.where(F.octet_length("vec") == width)
         own, part = _audited(nodes, threshold)
-        links, recall = own if links is None else links.unionAll(own), None if None in (recall, part) else min(recall, part)
+        found, recall = own if found is None else found.unionAll(own), None if None in (recall, part) else min(recall, part)
     spark = vectors.sparkSession
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long")
-    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weight = both.join(classes.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    groups = components(links)
-    known = classes.select("key", "id", "copies").join(weight, F.col("id") == F.col("a"), "left").join(groups.withColumnRenamed("id", "node"), F.col("id") == F.col("node"), "left")
+    if found is None:
+        found = spark.createDataFrame([], FOUND)
+    groups = components(found.select("a", "b"))
+    known = classes.select("key", "id", "copies").join(totals(found), F.col("id") == F.col("a"), "left").join(groups.withColumnRenamed("id", "node"), F.col("id") == F.col("node"), "left")
     known = known.select("key", F.coalesce("component", "id").alias("least"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"))
     out = parsed.select("vec_id", "key").join(known, "key", "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("least", "vec_id").alias("least"))
     given = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
@@ -390,13 +448,13 @@ def _audited(nodes: DataFrame, threshold: float) -> tuple[DataFrame, float | Non
     count = nodes.count()
     overlap, beam = 3, BEAM
     while True:
-        links = cut(_link(nodes, threshold, count, overlap, beam), "links")
-        recall = audit_recall(nodes, links, threshold, count)
+        found = cut(_link(nodes, threshold, count, overlap, beam), "links")
+        recall = audit_recall(nodes, found, threshold, count)
         if recall is None:
             warnings.warn(f"recall of the vector graph is not audited: {MOST_AUDIT_QUERIES} queries among {count} nodes have fewer than {AUDIT_LINKS} true links", stacklevel=2)
-            return links, None
+            return found, None
         if recall >= LEAST_RECALL:
-            return links, recall
+            return found, recall
         if overlap >= MOST_OVERLAP:
             return cut(exact_links(nodes, threshold, count), "links"), 1.0
         overlap, beam = overlap * 2, beam * 2
