@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import encode_documents
 from .decontaminate import decontaminate
+from .divergence import source_divergence
+from .infill import fill_in_middle, restored
 from .jaccard import jaccard_classes
 from .language import identify_languages
 from .licenses import scan_licenses
 from .phrases import remove_phrases
+from .recipes import exact_duplicates
 from .store import new_path
 from .suffix import remove_repeats
 from .token_counts import count_tokens
@@ -67,6 +71,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length=200)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = exact_duplicates(docs, carry=["text_sha256"])
+    return found.select("doc_id", "keep_id", "group_size", "kept", "rest.text_sha256")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -79,6 +98,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_repeated_phrases": op9_repeated_phrases,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_exact_dedup": op12_exact_dedup,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -108,6 +130,25 @@ select w.doc_id, coalesce(max(n.n), 0) n_shingles, min(r.b) component_id from w
 f as (select g, min(doc_id) first_doc from k group by 1), c as (select distinct doc_id, unnest(range(p, p + 13)) q from k join f using (g) where doc_id > first_doc),
 u as (select doc_id, unnest(ws) x, generate_subscripts(ws, 1) q from w), t as (select doc_id, string_agg(x, ' ' order by q) s, count(*) n from u anti join c using (doc_id, q) group by 1)
 select doc_id, len(ws)::bigint n_words, len(ws) - coalesce(t.n, 0) n_removed, sha256(coalesce(t.s, '')) kept_sha256 from w left join t using (doc_id)""",
+    "op11_fill_in_middle": r"""with d as (select doc_id, coalesce(text, '') t, sha256('1:' || doc_id) h from documents),
+u as (select *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') us, ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2, ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from d),
+r as (select *, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) b,
+case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end form from u),
+p as (select *, array_to_string(us[1:a], '') x, array_to_string(us[a + 1:b], '') y, array_to_string(us[b + 1:], '') z from r)
+select doc_id, len(us)::bigint n, form, case when form <> 'plain' then length(x) end prefix_chars, case when form <> 'plain' then length(y) end middle_chars,
+sha256(case form when 'plain' then t when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y else '<S>' || z || '<P>' || x || '<M>' || y end) output_sha256, sha256(t) restored_sha256 from p""",
+    "op12_exact_dedup": """with d as (select doc_id, coalesce(text, '') t from documents), g as (select t, max(doc_id) keep_id, count(*) n from d group by t)
+select doc_id, keep_id, n group_size, doc_id = keep_id kept, sha256(t) text_sha256 from d join g using (t)""",
+    "op13_source_divergence": r"""with d as (select doc_id, coalesce(text, '') t, coalesce(lang, '') lang, coalesce(source, '') source from documents),
+w as (select doc_id, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
+k as (select lang, term, count(*) c from w group by 1, 2 having count(distinct doc_id) >= 3), c as (select lang, source, term, count(*) c from w semi join k using (lang, term) group by 1, 2, 3),
+g as (select distinct lang, source from d), v as (select lang, count(*) v, sum(c) n from k group by 1), s as (select lang, source, sum(c) n from c group by 1, 2),
+p as (select g.lang, g.source, k.term, coalesce(c.c, 0) c, (1 + (1000000000::hugeint * (coalesce(c.c, 0) + 1)) // (coalesce(s.n, 0)::hugeint + v.v))::hugeint p, (1 + (1000000000::hugeint * (k.c + 1)) // (v.n::hugeint + v.v))::hugeint q
+from g join k using (lang) join v using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term left join s on s.lang = g.lang and s.source = g.source),
+x as (select a.lang, a.source, b.source item, coalesce((select sum((m.p - o.p) * (m.p - o.p) // o.p) from p m join p o on o.lang = m.lang and o.term = m.term where m.lang = a.lang and m.source = a.source and o.source = b.source), 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source),
+y as (select lang, source, term item, ((p - q) * (p - q) // q)::bigint as value from p where c > 0 and p > q)
+select lang, source, 'pair' part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from x
+union all select * from (select lang, source, 'term' part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from y) where rank <= 200""",
 }
 
 

@@ -89,11 +89,11 @@ def shards(df: DataFrame, mb: float = 16, least: int = 16, most: int = 1 << 16)
     return min(most, max(least, 1 << math.ceil(math.log2(max(1.0, want)))))
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id long (NULL_ID for null) and text string: all that text operators read."""
+def texts(docs: DataFrame, *more) -> DataFrame:
+    """doc_id long (NULL_ID for null) and text string, all that most text operators read, and what else is named."""
     if docs.sparkSession.conf.get(_BATCH, None) is None:
         docs.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def given_id(name: str = "doc_id"):
