@@ -129,7 +129,7 @@ def test_landed(spark):
     assert (row["company_id"], row["language"]) == ("nl_lei_213800ABCDEFGHIJKL12", "en")
     days = spark.createDataFrame([(1, "S1", "E00001", "120", "t", "2024-06-20 15:00", "2024-03-31", "1", "1", "0", "0", "1"), (2, "S2", "E00001", "999", "t", "2024-06-20 15:00", None, "0", "1", "2", "0", "1")], "seq int, docID string, edinetCode string, docTypeCode string, docDescription string, submitDateTime string, periodEnd string, xbrlFlag string, pdfFlag string, withdrawalStatus string, disclosureStatus string, legalStatus string")
     (row,) = landed.edinet_filings(days).collect()
-    assert (row["filing_type"], row["published_at"]) == ("annual_report", dt.datetime(2024, 6, 20, 6, 0))
+    assert (row["filing_type"], row["published_at"]) == ("annual", dt.datetime(2024, 6, 20, 6, 0))
 
 
 def test_sections_and_search(spark):
