@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from ledgerspark.plans import mechanisms  # noqa: F401 (registers its queries)
 from ledgerspark.plans.queries import QUERIES, SQL
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
