@@ -27,6 +27,11 @@ def file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = file_system(spark, path)
+    return fs.exists(target)
+
+
 def folders(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
     """Names of the folders in a folder that begin with the prefix, in order; none if it does not exist."""
     fs, target = file_system(spark, path)

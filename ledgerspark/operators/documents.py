@@ -84,7 +84,7 @@ def bm25(parts: DataFrame, query: str, corpus: list[str], key: list[str], text:
         part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("__length") / F.col("__avg")))
         score = score + F.when(tf > 0, part).otherwise(0.0)
         if title:
-            score = score + F.when(F.array_contains("__title", F.lit(term)), title_bonus).otherwise(0.0)
+            score = score + F.when((tf > 0) & F.array_contains("__title", F.lit(term)), title_bonus).otherwise(0.0)  # of terms that the text has
     return found.select(*key, F.round(score, 6).alias("score"))
 
 

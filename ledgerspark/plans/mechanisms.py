@@ -7,9 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..lake import folders, scratch
-from ..sources import contract, scans
+from ..operators import cascade, documents, extraction, fragments, inverted, versions
+from ..sources import contract, landed, registries, scans
 from ..tables import table
-from .queries import query
+from .queries import SQL, query
 
 
 def _orders(spark, d):
@@ -70,3 +71,102 @@ def newest_years(spark, d):
     archive = _land(_orders(spark, d).select(F.col("k").alias("id"), F.col("c").alias("company"), F.col("at").alias("day"), F.year("at").alias("year")), path, "year")
     years = [int(n[5:]) for n in reversed(folders(spark, path, "year="))]
     return scans.newest_first(years, lambda y: archive.where(F.col("year") == y).select("id", "company", "day"), "id", [F.col("day").desc(), F.col("id").desc()], 3000)
+
+
+# ---- registries and indexes ------------------------------------------------
+
+
+def _archives(customers):
+    """ZIPs of a code list each, of the customers of an Arrow batch: two headings and a CP932 table."""
+    import csv
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def pack(batches):
+        for batch in batches:
+            text = io.StringIO()
+            out = csv.writer(text)
+            out.writerows([["date", "count"], ["headings"]])
+            for key, name, segment in zip(*(batch.column(c).to_pylist() for c in ("c_custkey", "c_name", "c_mktsegment"))):
+                out.writerow([f" E{key:05d}", segment, "listed", "", "", "", f"株式会社, {name}", name, "", "東京都", "", f"{key:04d}0", ""])
+            packed = io.BytesIO()
+            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("codes.csv", text.getvalue().encode("cp932"))
+                archive.writestr("readme.txt", "x")
+            yield pa.RecordBatch.from_arrays([pa.array([packed.getvalue()])], names=["data"])
+
+    return customers.select("c_custkey", "c_name", "c_mktsegment").mapInArrow(pack, "data binary")
+
+
+@query("""select 'jp_e' || lpad(c_custkey::varchar, 5, '0') id, '株式会社, ' || c_name as name, c_name english_name, left(lpad(c_custkey::varchar, 4, '0') || '0', 4) ticker, '東京都' address, null as error from customer where c_custkey < 100000
+union all select null, null, null, null, null, 'BadZipFile: File is not a zip file' from region""")
+def packed_registry(spark, d):
+    """The code list of Japan from archives of customers; the regions' names are no archives, and say so."""
+    broken = table(spark, d, "region").select(F.encode("r_name", "UTF-8").alias("data"))
+    rows = registries.edinet_registry(_archives(table(spark, d, "customer")).unionAll(broken))
+    companies = landed.edinet_companies(rows.where("error is null")).select("id", "name", "english_name", "ticker", "address", F.lit(None).cast("string").alias("error"))
+    none = F.lit(None).cast("string")
+    return companies.unionByName(rows.where("error is not null").select(none.alias("id"), none.alias("name"), none.alias("english_name"), none.alias("ticker"), none.alias("address"), "error"))
+
+
+PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""with p as (select p_partkey id, p_name as name, {PLAIN.format("p_name")} n, {PLAIN.format("p_brand")} b, {PLAIN.format("p_type")} t from part)
+select id, name, case when b = 'red' then 0 when n like 'red%' or t like 'red%' then 1 else 2 end match_rank from p where b like '%red%' or n like '%red%' or t like '%red%'""")
+def fragment_search(spark, d):
+    """Issuers by a part of their names, of which one is an alias, through the index of fragments."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array("p_type").alias("aliases"), F.col("p_brand").alias("ticker"))
+    index = fragments.build_fragments(parts, scratch(spark, "fragments"), ["ticker"], ["name", "aliases"])
+    return index.search("RÉD!").select("id", "name", "match_rank")
+
+
+@query(rf"with found as ({SQL['bm25_search']}) select doc_id, lang, score, length(text) > 300 as cut from found join documents using (doc_id, lang)")
+def indexed_search(spark, d):
+    """The ranked search of documents through a persisted index that was built in two additions."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    index = inverted.open_index(spark, scratch(spark, "index"), ["doc_id"], ["lang"])
+    index.add(docs.where("doc_id < 100"))
+    index.add(docs)
+    found = index.search_texts("the License", docs, snippet=300)
+    return found.select("doc_id", "lang", F.round("score", 4).alias("score"), (F.contains("snippet", F.lit("…")) & (F.length("snippet") == 300)).alias("cut"))
+
+
+# ---- tables of the lake ----------------------------------------------------
+
+
+@query("""select o_orderkey id, o_custkey company, case when o_orderstatus = 'O' then o_totalprice + 1 else o_totalprice end amount, case when o_orderstatus = 'O' then 1 else 0 end seq from orders""")
+def versioned_upsert(spark, d):
+    """Filings in years; the open ones come a second time, and only their years are rewritten."""
+    rows = _orders(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("amount")), "k")
+    rows = rows.select(F.col("k").alias("id"), F.col("c").alias("company"), "amount", F.year("at").alias("year"), F.lit(0).alias("seq"), "s")
+    lake = versions.VersionedTable(spark, scratch(spark, "versions"), ["id"], part_by="year")
+    lake.upsert(rows.drop("s"), {"orders": "2001-01-01"})
+    lake.upsert(rows.where("s = 'O'").drop("s").withColumns({"amount": F.col("amount") + 1, "seq": F.lit(1)}), {"orders": "2001-08-01"})
+    return lake.read().select("id", "company", "amount", "seq")
+
+
+@query("""with c as (select c_custkey k from customer where c_acctbal < 0), o as (select o_orderkey k from orders where o_custkey in (select k from c))
+select 'customer' table_name, (select count(*) from customer) - (select count(*) from c) n_kept, (select count(*) from c) n_removed
+union all select 'orders', (select count(*) from orders) - (select count(*) from o), (select count(*) from o)
+union all select 'lineitem', count(*) filter (where not g), count(*) filter (where g) from (select l_orderkey in (select k from o) g from lineitem)""")
+def cascade_delete(spark, d):
+    """Customers in debt go, with their orders and the lines of these."""
+    tables = {n: table(spark, d, n) for n in ("customer", "orders", "lineitem")}
+    references = (cascade.Reference("customer", "c_custkey", "orders", "o_custkey"), cascade.Reference("orders", "o_orderkey", "lineitem", "l_orderkey"))
+    return cascade.cascade_counts(cascade.cascade(tables, references, "customer", tables["customer"].where("c_acctbal < 0").select("c_custkey")))
+
+
+@query("select doc_id filing_id, sha256(coalesce(text, '')) sha256, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))::bigint n_tokens from documents where text is not null")
+def extracted_once(spark, d):
+    """Tokens of documents, counted once for each distinct text; the second run finds nothing to do."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("filing_id"), F.col("text").alias("content"))
+    path = scratch(spark, "extracted")
+    store = extraction.Extracted(versions.VersionedTable(spark, f"{path}/results", ["sha256"]), versions.VersionedTable(spark, f"{path}/seen", ["sha256"]))
+    count = extraction.Extractor("tokens", "1", lambda c: c.select("sha256", F.size(documents.tokens(F.col("content"))).cast("long").alias("n_tokens")))
+    store.extract(docs.where("filing_id < 500"), count)
+    store.extract(docs, count)
+    store.extract(docs, count)
+    return store.of(docs, count)

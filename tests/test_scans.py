@@ -100,18 +100,18 @@ def test_only_wanted_days_are_opened(spark, tmp_path):
     assert many.count() == found.count()
 
 
-def files_read(node):
-    """Files that the scans of a plan that ran have opened."""
+def files_read(node, of="numFiles"):
+    """Files (or partitions) that the scans of a plan that ran have opened."""
     text, total = node.getClass().getSimpleName(), 0
     if text == "AdaptiveSparkPlanExec":
-        return files_read(node.executedPlan())
+        return files_read(node.executedPlan(), of)
     if text.endswith("QueryStageExec"):
-        return files_read(node.plan())
-    metric = node.metrics().get("numFiles")
-    if metric.isDefined():
+        return files_read(node.plan(), of)
+    metric = node.metrics().get(of)
+    if text == "FileSourceScanExec" and metric.isDefined():
         total += metric.get().value()
     children = node.children()
-    return total + sum(files_read(children.apply(i)) for i in range(children.size()))
+    return total + sum(files_read(children.apply(i), of) for i in range(children.size()))
 
 
 def test_newest_first(spark, tmp_path):
