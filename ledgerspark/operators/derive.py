@@ -49,6 +49,13 @@ def derive_printed_totals(facts: DataFrame) -> DataFrame:
     return out.unionByName(third, allowMissingColumns=True)
 
 
+def derive_chart_totals(facts: DataFrame) -> DataFrame:
+    """facts of a chart of accounts that has no line of all liabilities, with their sum where a filing
+    states both halves and nowhere the total."""
+    stated = facts.select("filing_id", "code").distinct()
+    return facts.unionByName(_derived(facts, (RULES[2],)).join(stated, ["filing_id", "code"], "left_anti"), allowMissingColumns=True)
+
+
 def _derived(facts: DataFrame, rules: Sequence) -> DataFrame:
     codes = sorted({c for code, terms in rules for c in (code, *(t for t, _ in terms))})
     plain = facts.where(F.coalesce(F.size("dimensions"), F.lit(0)) <= 0)

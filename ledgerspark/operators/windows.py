@@ -128,14 +128,15 @@ def best_concepts(facts: DataFrame) -> DataFrame:
     """Of each filing and code the concept of most dimensionless values, then most periods,
     a standard prefix, most values, best alias rank; the first seen of equals. facts: filing_id,
     code, concept, dimensions, start_date, end_date, seq, alias_rank, standard."""
-    # A concept's facts travel with its scores: the facts are made once, however costly they are.
-    scored = facts.groupBy("filing_id", "statement_type", "code", "concept").agg(
-        F.collect_list(F.struct(*facts.columns)).alias("facts"),
-        F.count_if(F.size("dimensions") <= 0).alias("plain"), F.count_distinct(F.struct("start_date", "end_date")).alias("periods"),
-        F.max("standard").alias("standard"), F.count("*").alias("n"), F.min("alias_rank").alias("alias"), F.min("seq").alias("first"),
+    item = ["filing_id", "statement_type", "code"]
+    # One shuffle and one sort: both windows' keys begin with the item.
+    own, all_ = Window.partitionBy(*item, "concept"), Window.partitionBy(*item)
+    score = F.struct(
+        F.count_if(F.size("dimensions") <= 0).over(own), F.size(F.collect_set(F.struct("start_date", "end_date")).over(own)), F.max("standard").over(own), F.count("*").over(own),
+        -F.min("alias_rank").over(own), -F.min("seq").over(own), F.col("concept"),
     )
-    best = top_per_group(scored, ["filing_id", "statement_type", "code"], [F.col("plain").desc(), F.col("periods").desc(), F.col("standard").desc(), F.col("n").desc(), F.col("alias").asc(), F.col("first").asc()])
-    return best.select(F.inline("facts"))
+    rows = facts.repartition(*item).withColumn("__score", score)
+    return rows.withColumn("__best", F.max("__score").over(all_)).where("__score = __best").drop("__score", "__best")
 
 
 def precision_rank(decimals: str = "decimals") -> Column:

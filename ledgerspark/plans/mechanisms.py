@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..lake import folders, scratch
-from ..operators import cascade, documents, extraction, fragments, inverted, versions
-from ..sources import contract, landed, registries, scans
-from ..tables import table
-from .queries import SQL, query
+from ..operators import cascade, documents, extraction, fragments, inverted, rules, versions
+from ..sources import contract, dispatch, gather, landed, registries, scans
+from ..streaming import latest
+from ..tables import FACT_TIES, facts, table
+from .queries import FACT_OUT, FACTS, OUT, SQL, TIES, query
 
 
 def _orders(spark, d):
@@ -170,3 +172,95 @@ def extracted_once(spark, d):
     store.extract(docs, count)
     store.extract(docs, count)
     return store.of(docs, count)
+
+
+# ---- state, sources and rules ----------------------------------------------
+
+NEWEST = f"row_number() over (partition by company_id, statement_type, code order by reported_at desc, filing_id desc, {TIES})"
+
+
+@query(f"with {FACTS} select {OUT} from (select *, {NEWEST} r from facts) where r = 1")
+def latest_by_state(spark, d):
+    """Of each item of a company the latest reported value, kept by a stream in a versioned table."""
+    path, keys = scratch(spark, "state"), ["company_id", "statement_type", "code"]
+    rows = facts(spark, d)
+    rows.repartition(4).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    kept = versions.VersionedTable(spark, f"{path}/kept", keys, parts=8)
+    latest.keep_latest_rows(stream, kept, f"{path}/checkpoint", ties=FACT_TIES).awaitTermination()
+    return kept.read().select(FACT_OUT)
+
+
+@query("select 'edinet' source, 0 source_pos, 'ok' status, (select count(*) from orders) n_rows, null as error union all select 'sgx', 1, 'failed', 0, 'a row of sgx is broken' union all select 'dart', 2, 'ok', (select count(*) from customer), null")
+def gathered_sources(spark, d):
+    """Three feeds of which one breaks at its last row: the others' rows, and how each went."""
+    orders = _orders(spark, d).select(F.col("k").alias("id"), F.col("at").alias("day"))
+    last = orders.agg(F.max("day").alias("day"))
+    broken = orders.join(F.broadcast(last.withColumn("last", F.lit(True))), "day", "left").select(F.when(F.col("last"), F.raise_error(F.lit("a row of sgx is broken")).cast("long")).otherwise(F.col("id")).alias("id"), "day")  # one row
+    rows, status = gather.gather(spark, {"edinet": lambda: orders, "sgx": lambda: broken, "dart": lambda: table(spark, d, "customer").select(F.col("c_custkey").alias("id"))})
+    counted = rows.groupBy("source_pos").agg(F.count("*").alias("n"))
+    said = F.nullif(F.regexp_extract("error", "(a row of sgx is broken)", 1), F.lit(""))
+    return status.join(counted, "source_pos", "left").select("source", "source_pos", "status", F.coalesce("n", F.lit(0)).cast("long").alias("n_rows"), said.alias("error"))
+
+
+BOOKS = """g as (select o_custkey f, o_orderdate::date as e, min(o_orderstatus) s, count(*) n, sum(l_extendedprice) r, sum(l_extendedprice * l_tax) t, sum(l_extendedprice * l_discount) c, sum(l_quantity) q,
+ sum(l_extendedprice) filter (where l_returnflag = 'A') a1, sum(l_extendedprice) filter (where l_returnflag <> 'A') a2, sum(l_extendedprice * l_tax) filter (where l_linenumber <= 3) t1, sum(l_extendedprice * l_tax) filter (where l_linenumber > 3) t2 from lineitem join orders on l_orderkey = o_orderkey group by 1, 2),
+b as (select *, q - n + 10 m, lag(f) over (partition by f order by e) is not null as later from g)"""
+
+
+def _books(spark, d):
+    """Balance sheets, results and cash flows of customers on the days of their orders."""
+    line = table(spark, d, "lineitem").join(_orders(spark, d), F.col("l_orderkey") == F.col("k"))
+    ext, tax, flag = F.col("l_extendedprice"), F.col("l_extendedprice") * F.col("l_tax"), F.col("l_returnflag")
+    part = lambda when, v: F.sum(F.when(when, v))
+    g = line.groupBy(F.col("c").alias("filing_id"), F.col("at").alias("end_date")).agg(
+        F.min("s").alias("s"), F.count("*").alias("n"), F.sum(ext).alias("r"), F.sum(tax).alias("t"), F.sum(ext * F.col("l_discount")).alias("c"), F.sum("l_quantity").alias("q"),
+        part(flag == "A", ext).alias("a1"), part(flag != "A", ext).alias("a2"), part(F.col("l_linenumber") <= 3, tax).alias("t1"), part(F.col("l_linenumber") > 3, tax).alias("t2"),
+    )
+    moved = F.col("q") - F.col("n") + 10
+    g = g.withColumns({"m": moved, "cash": F.sum(moved).over(Window.partitionBy("filing_id").orderBy("end_date"))})
+    cells = {
+        "total_assets": F.col("r") * F.when(F.col("s") == "P", 1.01).otherwise(1), "current_assets": F.col("a1"), "noncurrent_assets": F.col("a2"), "total_liabilities": F.col("t"), "current_liabilities": F.col("t1"), "noncurrent_liabilities": F.col("t2"),
+        "total_equity": (F.col("r") - F.col("t")) * F.when(F.col("s") == "F", 0.95).otherwise(1), "revenue": F.col("r"), "cost_of_revenue": -F.col("c"), "gross_profit": (F.col("r") - F.col("c")) * F.when(F.col("s") == "O", 1.02).otherwise(1),
+        "profit_before_tax": F.col("q"), "income_tax": F.col("n"), "net_income_loss": F.col("q") - F.col("n"), "operating_cash_flow": F.col("q"), "investing_cash_flow": -F.col("n"), "financing_cash_flow": F.when(F.col("s") != "O", 10),
+        "net_change_in_cash": F.col("m"), "cash_and_cash_equivalents": F.col("cash"),
+    }
+    rows = g.select("filing_id", "end_date", F.inline(F.array(*[F.struct(F.lit(k).alias("code"), v.cast("double").alias("value")) for k, v in cells.items()])))
+    return rows.select("*", F.lit(None).cast("date").alias("start_date"), F.lit("tagged_xbrl").alias("provenance"), F.lit(None).cast("array<struct<axis:string,member:string>>").alias("dimensions"))
+
+
+@query(f"""with {BOOKS}, x as (select f, e, s, later, [{{'i': 'EQ.accounting_equation', 'v': case when s in ('P', 'F') then 'fail' else 'pass' end}},
+{{'i': 'FOOT.bs.total_assets', 'v': case when a1 is null or a2 is null then 'skip' when s = 'P' then 'fail' else 'pass' end}}, {{'i': 'FOOT.bs.total_liabilities', 'v': case when t1 is null or t2 is null then 'skip' else 'pass' end}},
+{{'i': 'FOOT.is.gross_profit', 'v': case when s = 'O' then 'fail' else 'pass' end}}, {{'i': 'FOOT.is.net_income', 'v': 'pass'}}, {{'i': 'FOOT.cf.net_change', 'v': case when s = 'O' then 'skip' else 'pass' end}},
+{{'i': 'ROLL.cash', 'v': case when later then 'pass' else 'skip' end}}] rs from b) select f filing_id, e end_date, r.i rule_id, r.v status from (select f, e, unnest(rs) r from x)""")
+def rule_audit(spark, d):
+    """Every rule on every period of each filing."""
+    return rules.check(_books(spark, d), rules.FULL_RULES).select("filing_id", "end_date", "rule_id", "status")
+
+
+@query(f"""with {BOOKS} select f filing_id, count(*) filter (where s in ('P', 'F')) + count(*) filter (where s = 'P' and a1 is not null and a2 is not null) checks_failed, count(*) filter (where s = 'O') + count(*) filter (where s <> 'P' and a1 is not null and a2 is not null) + count(*) filter (where t1 is not null and t2 is not null) checks_passed,
+3 * count(*) - checks_failed - checks_passed checks_skipped, checks_failed = 0 ok, checks_failed n_findings from b group by 1""")
+def audit_reports(spark, d):
+    """The audit of each filing beside its findings, by the rules of the balance sheet."""
+    found = rules.report(rules.check(_books(spark, d), rules.rules_from(rules.rules_table(spark, rules.BALANCE_RULES))))
+    return found.select("filing_id", "checks_failed", "checks_passed", "checks_skipped", "ok", F.size("findings").cast("long").alias("n_findings"))
+
+
+@query("""with o as (select o_orderkey k, o_custkey c, o_orderstatus s, o_orderdate::date as d, o_orderkey % 10000 n from orders), r as (
+select k, 'current_liabilities' code, 1000.0 * n as value, 'regulated_structured_data' provenance from o where s = 'F' union all select k, 'noncurrent_liabilities', 1000.0 * c, 'regulated_structured_data' from o where s = 'F' union all select k, 'total_liabilities', 1000.0 * (n + c), 'derived' from o where s = 'F'
+union all select k, 'total_assets', n, 'regulated_structured_data' from o where s = 'O' union all select k, 'total_assets', 7.0 * n, 'regulated_structured_data' from o where s = 'P' and n % 2 = 0 union all select k, 'total_assets', 1000.0 * (n + 1), 'pdf_table' from o where s = 'P' and n % 2 = 1
+union all select k, 'total_liabilities', 1000.0, 'pdf_table' from o where s = 'P' and n % 2 = 1 union all select k, 'total_equity', 1000.0 * n, 'derived' from o where s = 'P' and n % 2 = 1) select k::varchar filing_id, code, value::double as value, provenance from r""")
+def structured_filings(spark, d):
+    """Filings through one call: finished orders from the feed of Brazil, open ones from that of Korea, the others
+    from printed sheets, of which some are replaced by Colombia's balance sheet."""
+    rows = _orders(spark, d).withColumns({"filing_id": F.col("k").cast("string"), "n": F.col("k") % 10000})
+    brazil = F.array(*[F.struct(F.lit(a).alias("CD_CONTA"), F.lit(b).alias("DS_CONTA"), v.cast("string").alias("VL_CONTA"), F.lit(i).alias("pos")) for i, (a, b, v) in enumerate([("2.01", "Passivo Circulante", F.col("n")), ("2.02", "Passivo Não Circulante", F.col("c"))])])
+    none = F.lit(None).cast("string")
+    feeds = {
+        "cvm": rows.where("s = 'F'").select("filing_id", F.inline(brazil), F.lit("MIL").alias("ESCALA_MOEDA"), F.lit("REAL").alias("MOEDA"), F.lit("ULTIMO").alias("ORDEM_EXERC"), none.alias("DT_INI_EXERC"), F.col("at").cast("string").alias("DT_FIM_EXERC"), F.lit("1").alias("VERSAO")),
+        "dart": rows.where("s = 'O'").select("filing_id", F.lit("BS").alias("sj_div"), F.lit("ifrs-full_Assets").alias("account_id"), F.col("n").cast("string").alias("thstrm_amount"), F.lit("KRW").alias("currency"), F.lit(None).cast("date").alias("start_date"), F.col("at").alias("end_date"), F.lit("CFS").alias("fs_div"), F.lit(1).alias("pos")),
+        "sfc": rows.where("s = 'P' and n % 2 = 0").select("filing_id", F.lit("100000").alias("cuenta"), F.lit("+").alias("signo_valor"), (7 * F.col("n")).cast("string").alias("valor"), F.col("at").alias("fecha_corte"), F.lit(1).alias("pos")),
+    }
+    sheet = F.concat(F.lit("# Balance sheet\n\nGBP thousands\n\n| Item | 2024 |\n| --- | --- |\n| Total assets | "), F.col("n") + 1, F.lit(" |\n| Total liabilities | 1 |\n"))
+    docs = rows.select("filing_id", F.encode(F.lit("%PDF-1.7"), "UTF-8").alias("content"), F.lit("application/pdf").alias("media_type"), none.alias("profile"), sheet.alias("markdown"), F.lit("2024-12-31").cast("date").alias("period_end"))
+    return dispatch.financials(docs, feeds).select("filing_id", "code", F.col("value").cast("double").alias("value"), "provenance")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import reporting_period
 from ..functions.lineitems import with_codes
-from ..operators.derive import derive_printed_totals, derive_totals
+from ..operators.derive import derive_chart_totals, derive_printed_totals, derive_totals
 from ..operators.windows import best_concepts, most_precise
 from . import statements, structured, xbrl
 
@@ -54,6 +57,36 @@ def line_items(documents: DataFrame) -> DataFrame:
     return _named(tagged).unionByName(_named(derive_totals(facts))).unionByName(_named(printed))
 
 
+#: Feeds whose own rows stand for the document, and how they are read.
+STRUCTURED = {
+    "cvm": lambda rows: derive_chart_totals(_shape(structured.cvm_statements(rows))),
+    "dart": lambda rows: _shape(structured.dart_statements(rows)),
+    "kap": lambda rows: _shape(structured.kap_statements(rows)),
+    "smv": lambda rows: _shape(structured.smv_statements(rows)),
+}
+
+
+def financials(documents: DataFrame, feeds: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """The line items of filings: from their feed's own rows where it has any, else from the document.
+
+    feeds: by profile (those of STRUCTURED, and sfc), rows as the profile's reader takes them. A feed's row counts
+    for filings of any profile: its filing_id decides. sfc has balance sheets only; they replace those of the
+    document, the rest of which stays. Documents whose filing a feed has are not read.
+    """
+    feeds = dict(feeds or {})
+    sheets = feeds.pop("sfc", None)
+    unknown = set(feeds) - set(STRUCTURED)
+    if unknown:
+        raise ValueError(f"no reader for the feeds of {', '.join(sorted(unknown))}")
+    first = [_named(STRUCTURED[profile](rows)) for profile, rows in feeds.items()]
+    own = reduce(DataFrame.unionByName, first) if first else None
+    rest = documents if own is None else documents.join(own.select("filing_id").distinct(), "filing_id", "left_anti")
+    read = line_items(rest)
+    if sheets is not None:
+        read = structured.override_statements(read, _named(_shape(structured.sfc_balance_sheet(sheets))))
+    return read if own is None else own.unionByName(read)
+
+
 def _named(facts: DataFrame) -> DataFrame:
     """Derived totals stand in the balance sheet, under the name of their code."""
     named = F.initcap(F.replace("code", F.lit("_"), F.lit(" ")))
