@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..lake import folders, scratch
 from ..operators import cascade, documents, extraction, fragments, inverted, rules, versions
-from ..sources import contract, dispatch, gather, landed, registries, scans
+from ..sources import contract, dispatch, gather, landed, registries, scans, structured
 from ..streaming import latest
 from ..tables import FACT_TIES, facts, table
 from .queries import FACT_OUT, FACTS, OUT, SQL, TIES, query
@@ -264,3 +264,27 @@ def structured_filings(spark, d):
     sheet = F.concat(F.lit("# Balance sheet\n\nGBP thousands\n\n| Item | 2024 |\n| --- | --- |\n| Total assets | "), F.col("n") + 1, F.lit(" |\n| Total liabilities | 1 |\n"))
     docs = rows.select("filing_id", F.encode(F.lit("%PDF-1.7"), "UTF-8").alias("content"), F.lit("application/pdf").alias("media_type"), none.alias("profile"), sheet.alias("markdown"), F.lit("2024-12-31").cast("date").alias("period_end"))
     return dispatch.financials(docs, feeds).select("filing_id", "code", F.col("value").cast("double").alias("value"), "provenance")
+
+
+@query("""with o as (select o_orderkey k, o_custkey c, year(o_orderdate) y, o_orderkey % 10000 n from orders), v as (select k, c, y, n, unnest([0, 1]) back from o)
+select k filing_id, code, statement_type, make_date(y - back, 12, 31) end_date, (case when back = 0 then n + i else c + i end)::double as value from v, (values
+('total_assets', 'balance_sheet', 1), ('current_assets', 'balance_sheet', 2), ('noncurrent_liabilities', 'balance_sheet', 3), ('net_income_loss', 'income_statement', 4), ('revenue', 'income_statement', 5), ('operating_cash_flow', 'cash_flow_statement', 6), ('investing_cash_flow', 'cash_flow_statement', 7),
+('total_equity', 'balance_sheet', 8), ('income_tax', 'income_statement', 9), ('inventory', 'balance_sheet', 10), ('dividends_paid', 'cash_flow_statement', 11)) as t(code, statement_type, i)""")
+def printed_labels(spark, d):
+    """Printed accounts in five languages by their labels, with the year before beside them."""
+    names = ["TOTAL DEL ACTIVO", "Activo circulante", "Pasivos No Corrientes", "Ganancia (Pérdida) Neta del Ejercicio", "營業收入", "Net cash used in operating activities", "Caixa líquido aplicado nas atividades de investimento", "Total del Capital Contable", "Gasto por Impuesto a las Ganancias", "存货", "Dividendos pagos", "Otra cuenta"]
+    rows = _orders(spark, d).withColumn("n", F.col("k") % 10000)
+    cells = F.array(*[F.struct(F.lit(name).alias("Cuenta"), F.format_number(F.col("n") + i + 1, 0).alias("Monto1"), (F.col("c") + i + 1).cast("string").alias("Monto2"), F.lit(i).alias("pos")) for i, name in enumerate(names)])
+    found = structured.smv_statements(rows.select(F.col("k").alias("filing_id"), F.year("at").alias("year"), F.inline(cells)))
+    return found.select("filing_id", "code", "statement_type", "end_date", F.col("value").cast("double").alias("value"))
+
+
+@query("""with o as (select o_orderkey k, o_orderkey % 10000 n from orders) select k filing_id, code, n + i as value from o, (values ('cash_and_cash_equivalents', 0), ('trade_receivables', 1), ('property_plant_equipment', 2), ('noncurrent_assets', 3), ('current_liabilities', 4), ('total_equity', 5), ('revenue', 6), ('cost_of_revenue', 7),
+('operating_income_loss', 8), ('profit_before_tax', 9), ('income_tax', 10), ('net_income_loss', 11), ('basic_eps', 12), ('operating_cash_flow', 13), ('net_change_in_cash', 14)) as t(code, i)""")
+def chart_labels(spark, d):
+    """Accounts of Brazil's chart by their labels; one of each bank's as well as of an industry's layout."""
+    names = ["Caixa e Equivalentes de Caixa", "Contas a Receber", "Imobilizado", "Ativo Não Circulante", "Passivo Circulante", "Patrimônio Líquido Consolidado", "Receitas de Intermediação Financeira", "Custo dos Bens e/ou Serviços Vendidos", "Resultado Antes do Resultado Financeiro e dos Tributos", "Resultado antes dos Tributos sobre o Lucro e Participações", "Imposto de Renda e Contribuição Social sobre o Lucro", "Lucro/Prejuízo Consolidado do Período", "Lucro por Ação (R$/Ação)", "Caixa Líquido Atividades Operacionais", "Aumento (Redução) de Caixa e Equivalentes", "Net income"]
+    rows = _orders(spark, d).withColumn("n", F.col("k") % 10000)
+    cells = F.array(*[F.struct(F.lit(f"1.{i}").alias("CD_CONTA"), F.lit(name).alias("DS_CONTA"), (F.col("n") + i).cast("string").alias("VL_CONTA"), F.lit(i).alias("pos")) for i, name in enumerate(names)])
+    found = structured.cvm_statements(rows.select(F.col("k").alias("filing_id"), F.inline(cells), F.lit("UNIDADE").alias("ESCALA_MOEDA"), F.lit("REAL").alias("MOEDA"), F.lit("ULTIMO").alias("ORDEM_EXERC"), F.lit(None).cast("string").alias("DT_INI_EXERC"), F.col("at").cast("string").alias("DT_FIM_EXERC"), F.lit("1").alias("VERSAO")))
+    return found.select("filing_id", "code", F.col("value").cast("long").alias("value"))

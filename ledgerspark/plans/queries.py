@@ -175,9 +175,12 @@ def watchlist_since(spark, d):
     return windows.watchlist(filings(spark, d), "2001-01-01").select("id", "company_id", "filing_date")
 
 
-@query()
+@query("""with recursive f as (select o_orderkey id, o_custkey c, o_orderdate::date d, floor(o_totalprice / 50000)::bigint u, o_orderdate::date::varchar || o_orderpriority t, row_number() over (partition by o_custkey order by o_orderkey) n from orders),
+g as (select c, n, id, d, true k, [u] us, [t] ts from f where n = 1 union all
+select f.c, f.n, f.id, f.d, not list_contains(us, u) and not list_contains(ts, t), case when list_contains(us, u) or list_contains(ts, t) then us else list_append(us, u) end, case when list_contains(us, u) or list_contains(ts, t) then ts else list_append(ts, t) end from g join f on f.c = g.c and f.n = g.n + 1)
+select id, c company_id, d filing_date from g where k""")
 def greedy_filing_dedupe(spark, d):
-    """Rows only: sequential within a company."""
+    """Sequential within a company."""
     rows = filings(spark, d).select("id", "company_id", "filing_date", F.col("category").alias("title"), F.col("id").alias("seq"), F.concat(F.lit("u"), F.floor(F.col("amount") / 50000)).alias("source_url"))
     return windows.greedy_filings(rows).select("id", "company_id", "filing_date")
 

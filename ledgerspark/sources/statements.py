@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineitems import ITEMS, code_of_label
+from ..functions.lineitems import STATEMENT_OF, code_of_label
 
-# Headings of statements.
+# Headings by which statements are found.
 HEADINGS = {
     "income_statement": ("income statement", "statement of profit or loss", "profit and loss account", "statement of operations", "statement of income", "demonstracao do resultado", "estado de resultados"),
     "comprehensive_income": ("statement of comprehensive income", "statement of other comprehensive income"),
@@ -24,7 +24,6 @@ HEADINGS = {
     "cash_flow_statement": ("statement of cash flows", "cash flow statement", "demonstracao dos fluxos de caixa", "estado de flujos de efectivo"),
     "changes_in_equity": ("statement of changes in equity",),
 }
-STATEMENT_OF = {code: statement for code, statement, *_ in ITEMS}
 LOOK_AHEAD = 14
 
 
