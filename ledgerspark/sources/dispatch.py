@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import reporting_period
 from ..functions.lineitems import with_codes
+from ..lake import scratch
 from ..operators.derive import derive_chart_totals, derive_printed_totals, derive_totals
 from ..operators.windows import best_concepts, most_precise
 from . import statements, structured, xbrl
@@ -25,6 +26,14 @@ def _shape(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(c) if c in known else kind if c == "kind" else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in ITEM])
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """The rows written and read back: totals are derived from them in several steps, and each would read
+    the documents again."""
+    path = scratch(rows.sparkSession, "read")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def public_pages(archives: DataFrame) -> DataFrame:
     """filing_id, content: the public pages of each archive, one after another by name."""
     pages = structured.unzip(archives).where(F.lower("member").rlike(r"publicdoc.*\.(x?html?|htm)$"))
@@ -45,15 +54,15 @@ def line_items(documents: DataFrame) -> DataFrame:
     of = lambda *names: routed.where(F.col("route").isin(*names))
     pages = of("html", "unknown").where("content is not null").select("filing_id", "content")
     pages = pages.unionByName(public_pages(of("edinet"))).unionByName(structured.largest_html(of("zip")).select("filing_id", "content"))
-    tagged = derive_totals(_shape(xbrl.statements(pages)))
+    tagged = derive_totals(_once(_shape(xbrl.statements(pages))))
     archives = structured.unzip(of("bmv-json")).where(F.lower("member").endswith(".json"))
     json = structured.bmv_values(archives.select("filing_id", F.decode("content", "UTF-8").alias("json")))
     coded = with_codes(json.where("numeric and value is not null"))
-    facts = _shape(most_precise(best_concepts(coded)).withColumn("provenance", F.lit("tagged_xbrl")).withColumn("confidence", F.lit(100)))
+    facts = _once(_shape(most_precise(best_concepts(coded)).withColumn("provenance", F.lit("tagged_xbrl")).withColumn("confidence", F.lit(100))))
     papers = routed.where("markdown is not null and route in ('pdf', 'unknown')").select("filing_id", "markdown", "period_end")
     start, end = reporting_period(F.coalesce("year", F.year("period_end")), F.col("statement_type") == "balance_sheet", F.col("period_end"), F.lit(None).cast("date"))
     printed = statements.read_statements(papers).join(papers.select("filing_id", "period_end").distinct(), "filing_id").withColumn("start_date", start).withColumn("end_date", end)
-    printed = derive_printed_totals(_shape(printed.withColumn("dimensions", F.array().cast("array<struct<axis:string,member:string>>"))))
+    printed = derive_printed_totals(_once(_shape(printed.withColumn("dimensions", F.array().cast("array<struct<axis:string,member:string>>")))))
     return _named(tagged).unionByName(_named(derive_totals(facts))).unionByName(_named(printed))
 
 
@@ -79,8 +88,14 @@ def financials(documents: DataFrame, feeds: Mapping[str, DataFrame] | None = Non
     if unknown:
         raise ValueError(f"no reader for the feeds of {', '.join(sorted(unknown))}")
     first = [_named(STRUCTURED[profile](rows)) for profile, rows in feeds.items()]
-    own = reduce(DataFrame.unionByName, first) if first else None
-    rest = documents if own is None else documents.join(own.select("filing_id").distinct(), "filing_id", "left_anti")
+    own, rest = None, documents
+    if first:
+        # Written once: every route of the documents asks which filings are left.
+        spark, path = documents.sparkSession, scratch(documents.sparkSession, "feeds")
+        reduce(DataFrame.unionByName, first).write.parquet(f"{path}/items")
+        own = spark.read.parquet(f"{path}/items")
+        documents.join(own.select("filing_id").distinct(), "filing_id", "left_anti").write.parquet(f"{path}/documents")
+        rest = spark.read.parquet(f"{path}/documents")
     read = line_items(rest)
     if sheets is not None:
         read = structured.override_statements(read, _named(_shape(structured.sfc_balance_sheet(sheets))))
