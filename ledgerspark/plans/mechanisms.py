@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..lake import folders, scratch
-from ..operators import cascade, documents, extraction, fragments, inverted, rules, versions
+from ..operators import cascade, changes, documents, extraction, fragments, holdings, inverted, rules, storage, versions
 from ..sources import contract, dispatch, gather, landed, registries, scans, structured
 from ..streaming import latest
 from ..tables import FACT_TIES, facts, table
@@ -288,3 +288,68 @@ def chart_labels(spark, d):
     cells = F.array(*[F.struct(F.lit(f"1.{i}").alias("CD_CONTA"), F.lit(name).alias("DS_CONTA"), (F.col("n") + i).cast("string").alias("VL_CONTA"), F.lit(i).alias("pos")) for i, name in enumerate(names)])
     found = structured.cvm_statements(rows.select(F.col("k").alias("filing_id"), F.inline(cells), F.lit("UNIDADE").alias("ESCALA_MOEDA"), F.lit("REAL").alias("MOEDA"), F.lit("ULTIMO").alias("ORDEM_EXERC"), F.lit(None).cast("string").alias("DT_INI_EXERC"), F.col("at").cast("string").alias("DT_FIM_EXERC"), F.lit("1").alias("VERSAO")))
     return found.select("filing_id", "code", F.col("value").cast("long").alias("value"))
+
+
+# ---- holders, changes and eviction ------------------------------------------
+
+
+def _notices(spark, d):
+    """Finished orders as notices of major holdings, whose holder is the customer."""
+    orders = table(spark, d, "orders").where("o_orderstatus = 'F'").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    day = F.col("o_orderdate").cast("date")
+    filings = orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("company_id"), F.lit(None).cast("timestamp").alias("published_at"), day.alias("filing_date"))
+    return filings, orders.select(F.col("o_orderkey").alias("filing_id"), F.col("c_name").alias("holder_name"), day.alias("crossed_date"))
+
+
+def _positions(spark, d):
+    """Line items as yearly positions of suppliers."""
+    line = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return line.select(F.col("l_orderkey").alias("filing_id"), F.col("o_custkey").alias("company_id"), F.col("l_suppkey").alias("holder_key"), F.col("s_name").alias("holder_name"), F.col("l_shipdate").cast("date").alias("position_date"), F.year("l_shipdate").alias("year"), F.col("l_linenumber").alias("seq"))
+
+
+POSITIONS = "p as (select l_orderkey filing_id, o_custkey company_id, l_suppkey k, s_name holder_name, l_shipdate::date as day, year(l_shipdate) y, l_linenumber seq from lineitem join supplier on l_suppkey = s_suppkey join orders on l_orderkey = o_orderkey)"
+
+
+@query(f"""with {POSITIONS}, n as (select o_orderkey filing_id, o_custkey company_id, o_orderdate::date as day, c_name holder_name from orders join customer on o_custkey = c_custkey where o_orderstatus = 'F' order by o_orderdate desc, o_orderkey desc limit 200),
+m as (select * from p where contains(lower(holder_name), 'r#00000001')), f as (select filing_id, k, max(y) y from m group by 1, 2), c as (select y, sum(count(*)) over (order by y desc) total from f group by y), e as (select coalesce(max(y) filter (total >= 25), min(y)) y0 from c),
+x as (select filing_id, company_id, holder_name, day from (select m.*, row_number() over (partition by filing_id, k order by y, seq desc, day desc) r from m, e where y >= y0) where r = 1 order by day desc, filing_id desc, holder_name desc limit 25)
+select filing_id, company_id, holder_name, day as held_at from (select filing_id, company_id, holder_name, day from n where contains(lower(holder_name), 'r#00000001') union all select * from x) order by day desc, filing_id desc, holder_name desc limit 25""")
+def holders_by_name(spark, d):
+    """Holders of a name over the newest notices and the positions of the newest years."""
+    found = holdings.search_holders(*_notices(spark, d), _positions(spark, d), "  R#00000001 ")
+    return found.select("filing_id", "company_id", "holder_name", holdings.held_at().alias("held_at"))
+
+
+@query(f"""with {POSITIONS}, m as (select * from p where company_id % 2 = 0), f as (select company_id, filing_id, k, max(y) y from m group by 1, 2, 3), c as (select company_id, y, sum(count(*)) over (partition by company_id order by y desc) total from f group by 1, 2),
+e as (select company_id, coalesce(max(y) filter (total >= 5), min(y)) y0 from c group by 1), x as (select *, row_number() over (partition by company_id order by day desc, filing_id desc, holder_name desc) r2 from (select m.*, row_number() over (partition by company_id, filing_id, k order by y, seq desc, day desc) r from m join e using (company_id) where y >= y0) where r = 1),
+n as (select o_orderkey filing_id, o_custkey company_id, c_name holder_name, o_orderdate::date as day, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) r from orders join customer on o_custkey = c_custkey where o_orderstatus = 'F' and o_custkey % 2 = 1)
+select filing_id, company_id, holder_name, day as held_at from n where r <= 5 union all select filing_id, company_id, holder_name, day from x where r2 <= 5""")
+def holders_of_companies(spark, d):
+    """The newest holders of every company, from notices for odd ones and from positions for even ones."""
+    filings, notices = _notices(spark, d)
+    found = holdings.company_holders(filings.where("company_id % 2 = 1"), notices, _positions(spark, d).where("company_id % 2 = 0"), limit=5)
+    return found.select("filing_id", "company_id", "holder_name", holdings.held_at().alias("held_at"))
+
+
+@query(f"""with {FACTS}, i as (select filing_id, statement_type, code, year(end_date)::varchar as label, value, confidence from facts qualify row_number() over (partition by filing_id, statement_type, code, year(end_date) order by {', '.join(f'{t} desc' for t in FACT_TIES)}) = 1),
+pairs as (select * from (select o_orderkey a, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) b from orders) where b is not null),
+l as (select a, b, i.* from pairs join i on filing_id = a), r as (select a, b, i.* from pairs join i on filing_id = b),
+x as (select coalesce(l.a, r.a) first_id, coalesce(l.b, r.b) second_id, coalesce(l.statement_type, r.statement_type) statement_type, coalesce(l.code, r.code) code, coalesce(l.label, r.label) as label, l.value first_value, r.value second_value from l full join r on l.a = r.a and l.b = r.b and l.statement_type = r.statement_type and l.code = r.code and l.label = r.label
+where l.value is distinct from r.value or l.confidence is distinct from r.confidence),
+y as (select *, row_number() over (partition by first_id, second_id order by statement_type, code, label) change_no, count(*) over (partition by first_id, second_id) > 2 truncated from x) select * from y where change_no <= 2""")
+def changes_of_filings(spark, d):
+    """Every order against its customer's next one, by statement, code and the year as label; two changes are shown."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("company_id"), F.col("o_orderdate").alias("filing_date"))
+    own = facts(spark, d).withColumn("label", F.year("end_date").cast("string"))
+    found = changes.filing_changes(changes.following(orders), own, limit=2, values=["value", "confidence"], order=FACT_TIES)
+    return found.select("first_id", "second_id", "statement_type", "code", "label", F.col("first.value").alias("first_value"), F.col("second.value").alias("second_value"), F.col("change_no").cast("long").alias("change_no"), "truncated")
+
+
+@query("""with w as (select l_orderkey k, sum(l_quantity::bigint) + 10 * count(*) bytes from lineitem group by 1), f as (select o_orderkey id, o_orderdate, coalesce(bytes, 0) bytes from orders left join w on k = o_orderkey)
+select id, bytes::bigint bytes, kept_bytes::bigint kept_bytes from (select *, sum(bytes) over (order by o_orderdate, id rows between current row and unbounded following) kept_bytes from f) where kept_bytes > 50000 - 1000 - coalesce((select sum(bytes) from w where k not in (select o_orderkey from orders)), 0)""")
+def whole_filings_to_budget(spark, d):
+    """The oldest orders that go, with all their rows, until quantities and rows of the rest fit a budget."""
+    filings = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("cached_at"))
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("filing_id"), F.col("l_quantity").cast("long").alias("quantity"), F.lit(10).alias("row_bytes"))
+    gone = storage.evict_filings(filings, [(line, "quantity"), (line, "row_bytes")], 50000, fixed=1000)
+    return gone.select("id", F.col("bytes").cast("long").alias("bytes"), F.col("kept_bytes").cast("long").alias("kept_bytes"))
