@@ -35,8 +35,9 @@ from .repeats import Repeats, find_repeats
 from .store import cut, given_id, shards
 from .tries import link
 
-#: Sets in one trie; a share of more is dealt to several.
-TRIE_SETS = 1024
+#: Sets in one trie, and bytes of their n-grams; a share of more is dealt to several. A trie takes about seven
+#: times the bytes of its sets.
+TRIE_SETS, TRIE_BYTES = 1024, 16 << 20
 #: Shares that every set goes to in the first round.
 FIRST_SHARES = 2
 #: Classes of one n-gram up to which a set goes to the trie of each.
@@ -67,8 +68,10 @@ def in_order(tokens: np.ndarray, repeats: Repeats) -> np.ndarray:
 
 
 def _deal(rows: DataFrame, key: list[str]) -> DataFrame:
-    """rows with n, the tries that the sets of a key are dealt to, and salt, the one of this set."""
-    many = rows.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(TRIE_SETS)).cast("int").alias("n")).where("n > 1")
+    """rows with n, the tries that the sets of a key are dealt to, and salt, the one of this set. Rows have the
+    size of their set, of which every n-gram may be sent."""
+    full = F.greatest(F.count("*") / F.lit(TRIE_SETS), F.sum("size") * 8 / F.lit(TRIE_BYTES))
+    many = rows.groupBy(*key).agg(F.ceil(full).cast("int").alias("n")).where("n > 1")
     return rows.join(many, key, "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
 
 
@@ -83,7 +86,7 @@ def _search(rows: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataF
 
     @released
     def run(batches):
-        key, stored, probes, size = None, [], [], 0
+        key, stored, probes, held = None, [], [], 0
 
         def flush():
             both = bool(stored) and not probes
@@ -93,15 +96,16 @@ def _search(rows: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataF
         for batch in batches:
             names = [batch.column(c).to_pylist() for c in ("share", "salt", "other", "kind", "id", "class", "size")]
             for *share, kind, own, known, n, blob in zip(*names, batch.column("tokens")):
-                if share != key or len(probes) >= TRIE_SETS:
+                if share != key or len(probes) >= TRIE_SETS or held >= TRIE_BYTES:
                     if stored:
                         yield flush()
-                    probes = []
+                    probes, held = [], 0
                     if share != key:
                         key, stored = share, []
                 # A copy: the batch's buffer must not outlive the batch.
                 row = (own, known, n, np.frombuffer(blob.as_buffer(), np.uint64).copy())
                 (probes if kind == 1 else stored).append(row)
+                held += row[3].nbytes if kind == 1 else 0
         if stored:
             yield flush()
 
@@ -165,7 +169,7 @@ def class_links(sets: DataFrame, equal: DataFrame, parts: int, percent: int) ->
     """id, component of the documents that have links; equal: links (a, b) that are known.
     sets: node, id (the document that stands for it), size, prefix, tokens."""
     picks = [F.array_min(F.transform("prefix", lambda g, i=i: F.xxhash64(g, F.lit(i)))) for i in range(FIRST_SHARES)]
-    shares = _deal(sets.select("node", "id", F.explode(F.array_distinct(F.array(*picks))).alias("share")), ["share"])
+    shares = _deal(sets.select("node", "id", "size", F.explode(F.array_distinct(F.array(*picks))).alias("share")), ["share"])
     first = shares.select("share", "salt", F.lit(0).alias("other"), F.lit(2).alias("kind"), "node", "id", F.col("id").alias("class"))
     known = cut(components(cut(_search(first, sets, parts, percent), "links").unionAll(equal)), "classes")
     # N-grams that still hold several classes.
@@ -184,13 +188,13 @@ def class_links(sets: DataFrame, equal: DataFrame, parts: int, percent: int) ->
     other = light_held.select("gram", F.col("class").alias("share"), F.col("weight").alias("most"), "lo", "hi")
     meet = mine.join(other, "gram").where("weight < most or (weight = most and class < share)").where(f"100 * size >= {percent} * lo and 100 * hi >= {percent} * size")
     meet = cut(meet.select("node", "id", "class", "share").distinct(), "meet")
-    stored = mixed.select("node", "id", "class").distinct().join(meet.select(F.col("share").alias("class")).distinct(), "class", "left_semi")
+    stored = mixed.select("node", "id", "size", "class").distinct().join(meet.select(F.col("share").alias("class")).distinct(), "class", "left_semi")
     stored = _deal(stored.withColumn("share", F.col("class")), ["share"])
     tries = stored.select("share", "n").distinct()
     probes = meet.join(tries, "share").select("share", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.lit(0).alias("other"), F.lit(1).alias("kind"), "node", "id", "class")
     rows = stored.select("share", "salt", F.lit(0).alias("other"), F.lit(0).alias("kind"), "node", "id", "class").unionAll(probes)
     # Sets of an n-gram with very many classes: each trie of it meets each other one.
-    dealt = _deal(mixed.join(heavy, "gram", "left_semi").select("node", "id", "class", F.col("gram").alias("share")), ["share"])
+    dealt = _deal(mixed.join(heavy, "gram", "left_semi").select("node", "id", "size", "class", F.col("gram").alias("share")), ["share"])
     dealt = dealt.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     kind = F.when(F.col("at") == F.col("salt"), 2).when(F.col("at") > F.col("salt"), 0).otherwise(1)
     many = dealt.select("share", F.least("salt", "at").alias("salt"), F.greatest("salt", "at").alias("other"), kind.alias("kind"), "node", "id", "class")

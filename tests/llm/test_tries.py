@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerspark.llm import jaccard, tries
 
@@ -67,6 +68,24 @@ def test_dealt_out(spark, docs, rows, monkeypatch, classes, held, shares):
     assert got == Counter(brute_classes(rows, 5, 75))
 
 
+@pytest.mark.parametrize(("classes", "held"), [(256, 4000), (1, 4000), (256, 1)])
+def test_dealt_by_bytes(spark, docs, rows, monkeypatch, classes, held):
+    """Tries of few bytes: long sets are dealt out, and probes are looked up in portions."""
+    monkeypatch.setattr(jaccard, "MOST_CLASSES", classes)
+    monkeypatch.setattr(jaccard, "TRIE_BYTES", held)
+    got = Counter(tuple(r) for r in jaccard.jaccard_classes(docs).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == Counter(brute_classes(rows, 5, 75))
+
+
+def test_a_trie_holds_bounded_bytes(spark):
+    """A thousand sets of 20,000 n-grams meet in one share: no trie is given much more than its bytes."""
+    rows = spark.range(1000).select(F.col("id"), F.lit(20000).cast("long").alias("size"), F.lit(7).alias("share"))
+    held = jaccard._deal(rows, ["share"]).groupBy("salt").agg(F.sum(F.col("size") * 8).alias("bytes")).collect()
+    assert len(held) == 10 and max(r["bytes"] for r in held) < 1.5 * jaccard.TRIE_BYTES
+    short = jaccard._deal(rows.withColumn("size", F.lit(400).cast("long")), ["share"])
+    assert {r["n"] for r in short.select("n").distinct().collect()} == {1}
+
+
 def test_chains_and_hubs(spark):
     """Families whose members differ step by step, over a passage that all texts share."""
     r = random.Random(8)
