@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -346,10 +345,12 @@ def totals(found: DataFrame) -> DataFrame:
     return whole.groupBy("a").agg(F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.coalesce(F.sum("others"), F.lit(0)).alias("others"))
 
 
-def audit_links(nodes: DataFrame, found: DataFrame, threshold: float, queries: int = AUDIT_QUERIES) -> tuple[int, int]:
-    """(found, true): links of a bounded hash sample of nodes as counted, and by brute force."""
-    rows = nodes.orderBy(F.xxhash64("id", F.lit(11))).limit(queries).select("id", "vec").toArrow()
-    ids, x = rows.column("id").to_numpy(), _unit(rows.column("vec")) if rows.num_rows else np.zeros((0, 1))
+def audit_links(nodes: DataFrame, found: DataFrame, threshold: float, queries: int = AUDIT_QUERIES, among: DataFrame | None = None) -> tuple[int, int]:
+    """(found, true): links of a bounded hash sample of nodes, or of those among, as counted and by brute force over all nodes."""
+    rows = (nodes if among is None else among).orderBy(F.xxhash64("id", F.lit(11))).limit(queries).select("id", "vec").toArrow()
+    if not rows.num_rows:
+        return 0, 0
+    ids, x = rows.column("id").to_numpy(), _unit(rows.column("vec"))
     shared = nodes.sparkSession.sparkContext.broadcast((ids, x))
 
     @released
@@ -370,7 +371,12 @@ def audit_links(nodes: DataFrame, found: DataFrame, threshold: float, queries: i
 
 def audit_recall(nodes: DataFrame, found: DataFrame, threshold: float, count: int) -> float | None:
     """Share of true links that are found, from as many queries as give AUDIT_LINKS true
-    links, or from all count nodes; None where MOST_AUDIT_QUERIES give fewer."""
+    links, or from all count nodes.
+
+    Where MOST_AUDIT_QUERIES give fewer, nodes that have found links are asked as well, since these have true
+    links; the lesser share counts. A node all of whose links are lost is only met by the first kind of query. None
+    where both kinds have fewer than AUDIT_LINKS true links.
+    """
     queries = AUDIT_QUERIES
     while True:
         seen, total = audit_links(nodes, found, threshold, queries)
@@ -379,8 +385,11 @@ def audit_recall(nodes: DataFrame, found: DataFrame, threshold: float, count: in
         if total >= AUDIT_LINKS:
             return seen / total
         if queries >= MOST_AUDIT_QUERIES:
-            return None
+            break
         queries = min(MOST_AUDIT_QUERIES, queries * 8)
+    linked = nodes.join(totals(found).where("links > 0").select(F.col("a").alias("id")), "id", "left_semi")
+    met, real = audit_links(nodes, found, threshold, AUDIT_QUERIES, linked)
+    return min(met / real, seen / total if total else 1.0) if real >= AUDIT_LINKS else None
 
 
 def exact_links(nodes: DataFrame, threshold: float, count: int) -> DataFrame:
@@ -418,7 +427,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     Two vectors link if their cosine is threshold at least, in double precision.
     n_links counts the other vectors linked directly, equal ones included;
     component_id is the least vec_id that links reach; kept: vec_id is that.
-    recall is the audited share of true links, null where not audited. Null, empty, zero vectors and
+    recall is the audited share of true links. Null, empty, zero vectors and
     those with null or non-finite components link with nothing, as do vectors of
     different lengths. A null vec_id counts as least and stays null. Repeated
     rows are vectors of their own. An empty table gives no rows; further columns
@@ -432,7 +441,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     for (width,) in classes.select(F.octet_length("vec")).distinct().collect():
         nodes = classes.where(F.octet_length("vec") == width)
         own, part = _audited(nodes, threshold)
-        found, recall = own if found is None else found.unionAll(own), None if None in (recall, part) else min(recall, part)
+        found, recall = own if found is None else found.unionAll(own), min(recall, part)
     spark = vectors.sparkSession
     if found is None:
         found = spark.createDataFrame([], FOUND)
@@ -444,17 +453,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     return out.select(given("vec_id").alias("vec_id"), "n_links", given("least").alias("component_id"), (F.col("vec_id") == F.col("least")).alias("kept"), F.lit(recall).cast("double").alias("recall"))
 
 
-def _audited(nodes: DataFrame, threshold: float) -> tuple[DataFrame, float | None]:
+def _audited(nodes: DataFrame, threshold: float) -> tuple[DataFrame, float]:
+    """The links and their measured recall. Links whose recall cannot be measured are never taken: all pairs are compared."""
     count = nodes.count()
     overlap, beam = 3, BEAM
     while True:
         found = cut(_link(nodes, threshold, count, overlap, beam), "links")
         recall = audit_recall(nodes, found, threshold, count)
-        if recall is None:
-            warnings.warn(f"recall of the vector graph is not audited: {MOST_AUDIT_QUERIES} queries among {count} nodes have fewer than {AUDIT_LINKS} true links", stacklevel=2)
-            return found, None
-        if recall >= LEAST_RECALL:
+        if recall is not None and recall >= LEAST_RECALL:
             return found, recall
-        if overlap >= MOST_OVERLAP:
+        if recall is None or overlap >= MOST_OVERLAP:  # not measured, or not enough
             return cut(exact_links(nodes, threshold, count), "links"), 1.0
         overlap, beam = overlap * 2, beam * 2
