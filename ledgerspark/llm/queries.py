@@ -130,6 +130,11 @@ select w.doc_id, coalesce(max(n.n), 0) n_shingles, min(r.b) component_id from w
 f as (select g, min(doc_id) first_doc from k group by 1), c as (select distinct doc_id, unnest(range(p, p + 13)) q from k join f using (g) where doc_id > first_doc),
 u as (select doc_id, unnest(ws) x, generate_subscripts(ws, 1) q from w), t as (select doc_id, string_agg(x, ' ' order by q) s, count(*) n from u anti join c using (doc_id, q) group by 1)
 select doc_id, len(ws)::bigint n_words, len(ws) - coalesce(t.n, 0) n_removed, sha256(coalesce(t.s, '')) kept_sha256 from w left join t using (doc_id)""",
+    "op10_suffix_dedup": """with d as (select doc_id, encode(coalesce(text, '')) b, strlen(coalesce(text, ''))::bigint n from documents), w as (select doc_id, p, sha256(b[p:p + 199]) g from (select *, unnest(range(1, n - 198)) p from d where n >= 200)),
+r as (select g from w group by g having count(*) > 1), s as (select doc_id, p, lag(p) over (partition by doc_id order by p) q from w semi join r using (g)), t as (select doc_id, p, sum(case when q is null or p > q + 200 then 1 else 0 end) over (partition by doc_id order by p) k from s),
+v as (select doc_id, k, min(p) lo, max(p) + 200 hi from t group by 1, 2), e as (select doc_id, lo, hi, lag(hi) over (partition by doc_id order by lo) f from v union all select doc_id, n + 1, n + 1, (select max(hi) from v where v.doc_id = d.doc_id) from d),
+m as (select doc_id, string_agg(hex(b[coalesce(f, 1):lo - 1]), '' order by lo, hi) h, sum(hi - lo)::bigint removed, (count(*) - 1)::bigint spans from e join d using (doc_id) group by 1)
+select doc_id, n n_bytes, removed n_removed, spans n_spans, sha256(unhex(coalesce(h, ''))) kept_sha256 from m join d using (doc_id)""",
     "op11_fill_in_middle": r"""with d as (select doc_id, coalesce(text, '') t, sha256('1:' || doc_id) h from documents),
 u as (select *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') us, ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2, ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from d),
 r as (select *, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) b,
