@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lake import by_keys
+
 PERIOD = ["filing_id", "start_date", "end_date", "kind", "unit"]
 TOLERANCE = 0.001
 
@@ -42,10 +44,10 @@ def derive_printed_totals(facts: DataFrame) -> DataFrame:
     """facts of printed sheets with the totals that a filing never states: first from both halves, then
     the third of assets, liabilities and equity where it states, or has by then, exactly two."""
     stated = lambda df: df.where(F.coalesce(F.size("dimensions"), F.lit(0)) <= 0).select("filing_id", "code").distinct()
-    out = facts.unionByName(_derived(facts, HALVES).join(stated(facts), ["filing_id", "code"], "left_anti"), allowMissingColumns=True)
+    out = facts.unionByName(_derived(facts, HALVES).join(by_keys(stated(facts)), ["filing_id", "code"], "left_anti"), allowMissingColumns=True)
     known = stated(out)
     two = known.where(F.col("code").isin([code for code, _ in THIRD_TERM])).groupBy("filing_id").agg(F.count("*").alias("n")).where("n = 2").select("filing_id")
-    third = _derived(out.join(two, "filing_id", "left_semi"), THIRD_TERM).join(known, ["filing_id", "code"], "left_anti")
+    third = _derived(out.join(by_keys(two), "filing_id", "left_semi"), THIRD_TERM).join(by_keys(known), ["filing_id", "code"], "left_anti")
     return out.unionByName(third, allowMissingColumns=True)
 
 
@@ -53,7 +55,7 @@ def derive_chart_totals(facts: DataFrame) -> DataFrame:
     """facts of a chart of accounts that has no line of all liabilities, with their sum where a filing
     states both halves and nowhere the total."""
     stated = facts.select("filing_id", "code").distinct()
-    return facts.unionByName(_derived(facts, (RULES[2],)).join(stated, ["filing_id", "code"], "left_anti"), allowMissingColumns=True)
+    return facts.unionByName(_derived(facts, (RULES[2],)).join(by_keys(stated), ["filing_id", "code"], "left_anti"), allowMissingColumns=True)
 
 
 def _derived(facts: DataFrame, rules: Sequence) -> DataFrame:

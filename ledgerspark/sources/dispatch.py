@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import reporting_period
 from ..functions.lineitems import with_codes
-from ..lake import scratch
+from ..lake import by_keys, scratch
 from ..operators.derive import derive_chart_totals, derive_printed_totals, derive_totals
 from ..operators.windows import best_concepts, most_precise
 from . import statements, structured, xbrl
@@ -61,7 +61,7 @@ def line_items(documents: DataFrame) -> DataFrame:
     facts = _once(_shape(most_precise(best_concepts(coded)).withColumn("provenance", F.lit("tagged_xbrl")).withColumn("confidence", F.lit(100))))
     papers = routed.where("markdown is not null and route in ('pdf', 'unknown')").select("filing_id", "markdown", "period_end")
     start, end = reporting_period(F.coalesce("year", F.year("period_end")), F.col("statement_type") == "balance_sheet", F.col("period_end"), F.lit(None).cast("date"))
-    printed = statements.read_statements(papers).join(papers.select("filing_id", "period_end").distinct(), "filing_id").withColumn("start_date", start).withColumn("end_date", end)
+    printed = statements.read_statements(papers).join(by_keys(papers.select("filing_id", "period_end").distinct()), "filing_id").withColumn("start_date", start).withColumn("end_date", end)
     printed = derive_printed_totals(_once(_shape(printed.withColumn("dimensions", F.array().cast("array<struct<axis:string,member:string>>")))))
     return _named(tagged).unionByName(_named(derive_totals(facts))).unionByName(_named(printed))
 
@@ -94,7 +94,7 @@ def financials(documents: DataFrame, feeds: Mapping[str, DataFrame] | None = Non
         spark, path = documents.sparkSession, scratch(documents.sparkSession, "feeds")
         reduce(DataFrame.unionByName, first).write.parquet(f"{path}/items")
         own = spark.read.parquet(f"{path}/items")
-        documents.join(own.select("filing_id").distinct(), "filing_id", "left_anti").write.parquet(f"{path}/documents")
+        documents.join(by_keys(own.select("filing_id").distinct()), "filing_id", "left_anti").write.parquet(f"{path}/documents")
         rest = spark.read.parquet(f"{path}/documents")
     read = line_items(rest)
     if sheets is not None:
