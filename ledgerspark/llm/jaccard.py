@@ -32,7 +32,7 @@ from .components import components
 from .copies import collapse, keyed
 from .kernels import LOWER, NON_SPACE, gram_hashes, released, span_hashes, text_blocks, window_rows, word_spans
 from .repeats import Repeats, find_repeats
-from .store import cut, given_id, shards
+from .store import cut, drop, given_id, shards
 from .tries import link
 
 #: Sets in one trie, and bytes of their n-grams; a share of more is dealt to several. A trie takes about seven
@@ -161,6 +161,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     # The least doc_id of equal sets stands for them.
     equal = table.where("size > 0").select("node", "doc_id").join(least, "node").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     classes = class_links(sets, equal, shards(source, 8, 16), percent)
+    drop(sets)
     out = table.select("doc_id", "size").join(classes, F.col("doc_id") == F.col("id"), "left")
     return out.select(given_id(), F.col("size").alias("n_shingles"), F.when(F.coalesce("component", "doc_id") != F.lit(-(1 << 63)), F.coalesce("component", "doc_id")).alias("component_id"))
 
@@ -177,9 +178,12 @@ def class_links(sets: DataFrame, equal: DataFrame, parts: int, percent: int) ->
     entries = cut(entries, "entries")
     mixed = entries.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("gram")
     mixed = cut(entries.join(mixed, "gram", "left_semi"), "mixed")
-    weight = mixed.select("class", "node").distinct().groupBy("class").agg(F.count("*").alias("weight"))
+    # One row for each set from here on: a table, lest the joins below be made on its n-grams' rows.
+    members = cut(mixed.select("node", "id", "size", "class").distinct(), "members")
+    weight = members.groupBy("class").agg(F.count("*").alias("weight"))
     held = mixed.groupBy("gram", "class").agg(F.min("size").alias("lo"), F.max("size").alias("hi")).join(weight, "class")
     held = cut(held, "held")
+    drop(entries)
     count = held.groupBy("gram").agg(F.count("*").alias("k"))
     light, heavy = count.where(F.col("k") <= MOST_CLASSES).select("gram"), count.where(F.col("k") > MOST_CLASSES).select("gram")
     # A set and another, larger class that has its n-gram: it goes to the trie of that class, once.
@@ -188,7 +192,7 @@ def class_links(sets: DataFrame, equal: DataFrame, parts: int, percent: int) ->
     other = light_held.select("gram", F.col("class").alias("share"), F.col("weight").alias("most"), "lo", "hi")
     meet = mine.join(other, "gram").where("weight < most or (weight = most and class < share)").where(f"100 * size >= {percent} * lo and 100 * hi >= {percent} * size")
     meet = cut(meet.select("node", "id", "class", "share").distinct(), "meet")
-    stored = mixed.select("node", "id", "size", "class").distinct().join(meet.select(F.col("share").alias("class")).distinct(), "class", "left_semi")
+    stored = members.join(meet.select(F.col("share").alias("class")).distinct(), "class", "left_semi")
     stored = _deal(stored.withColumn("share", F.col("class")), ["share"])
     tries = stored.select("share", "n").distinct()
     probes = meet.join(tries, "share").select("share", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.lit(0).alias("other"), F.lit(1).alias("kind"), "node", "id", "class")
@@ -202,6 +206,7 @@ def class_links(sets: DataFrame, equal: DataFrame, parts: int, percent: int) ->
     # Links of the second round join classes of the first.
     name = known.select("id", "component")
     more = cut(more, "links")
+    drop(mixed, members, held, meet)
     side = lambda c: F.coalesce(F.col(f"{c}c"), F.col(c)).alias(c)
     more = more.join(name.toDF("a", "ac"), "a", "left").join(name.toDF("b", "bc"), "b", "left").select(side("a"), side("b"))
     joined = cut(components(more), "joined").toDF("component", "whole")
